@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from framelake.llm.clusters import cluster, linked_groups
 from framelake.llm.knn import similar_pairs
+from framelake.llm.splits import overlap_pairs, overlap_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +21,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(table(spark, d, "results"), k=5, floor=0.5)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return linked_groups(table(spark, d, "results").filter("face_count >= 1"), min_cos=0.5, min_size=5)
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return cluster(table(spark, d, "results").filter("face_count >= 1"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap_pairs(table(spark, d, "labels"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap_report(table(spark, d, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit()}
 
