@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 DIM = 512
-SKETCH_BITS = 512
+SKETCH_BITS = 768
 INT8, HALF, FULL = 0, 1, 2
 
 
