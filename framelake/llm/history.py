@@ -128,7 +128,7 @@ class HistoryIndex:
         Tokens of many postings are salted: a posting goes to one salt, a probe to all of them.
         """
         n = self.p.prefix - self.overlap + 1
-        rank = F.array(*[F.lit(r) for r in self.rank]) if self.rank else F.array(F.lit(0))
+        rank = F.expr(f"array({', '.join(map(str, self.rank)) or 0})")
         rare = F.transform(F.slice(F.array_sort(F.transform(self._far(), lambda t: F.struct(F.get(rank, (t - PIVOT_BASE).cast("int")).alias("r"), t.alias("t")))), 1, n), lambda s: s["t"])
         t = vec.select("vkey", "sketch", F.explode(F.concat(F.col("families").cast("array<bigint>"), rare)).alias("token")).dropDuplicates(["vkey", "token"])
         salts = F.lit(1)

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm.clusters import cluster, linked_groups
+from framelake.llm.history import repeats_by_batch
 from framelake.llm.knn import similar_pairs
+from framelake.llm.packing import containers, fill_report
 from framelake.llm.splits import overlap_pairs, overlap_report
+from framelake.llm.tokens import encode
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +40,22 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap_report(table(spark, d, "labels"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeats_by_batch(table(spark, d, "results"))
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode(table(spark, d, "documents"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return containers(table(spark, d, "documents"), table(spark, d, "context_windows"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p7_containers(spark, d))
+
+
 def queries() -> dict[str, Query]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit()}
 
