@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm.clusters import cluster, linked_groups
+from framelake.llm.garbled import find_garbled
 from framelake.llm.history import repeats_by_batch
 from framelake.llm.knn import similar_pairs
 from framelake.llm.packing import containers, fill_report
+from framelake.llm.replies import defects, replies_of
 from framelake.llm.splits import overlap_pairs, overlap_report
 from framelake.llm.tokens import encode
 
@@ -20,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects(replies_of(table(spark, d, "raw_outputs_a"), table(spark, d, "results")), table(spark, d, "prompts"), table(spark, d, "documents"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(table(spark, d, "results"), k=5, floor=0.5)
 
@@ -56,6 +62,14 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p7_containers(spark, d))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_garbled(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return find_garbled(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit()}
 
