@@ -178,20 +178,29 @@ class HistoryIndex:
         shared = left.groupBy("key").agg(F.min("row_id").alias("lo"), F.max("row_id").alias("hi")).filter("lo <> hi").select("key")
         rows = left.join(shared, "key", "left_semi").select("row_id").distinct()
         open_ = materialize(left.join(rows, "row_id", "left_semi"), "open")
-        # rounds: a row falls to an earlier accepted row, and is accepted once no earlier row is open
         while not open_.isEmpty():
-            mine = open_.filter("own").select("row_id", "key")
-            first = mine.groupBy("key").agg(F.min("row_id").alias("first"))
-            accepted = open_.join(first, "key").groupBy("row_id").agg(F.min("first").alias("first")).filter("first = row_id").select("row_id")
-            taken = mine.join(accepted, "row_id").groupBy("key").agg(F.min("row_id").alias("first"))
-            falls = open_.join(taken, "key").filter("first < row_id").select("row_id", F.lit(True).alias("repeat")).distinct()
-            done = materialize(accepted.select("row_id", F.lit(False).alias("repeat")).unionByName(falls), "decided")
+            # two rounds at a time, as few chains are longer
+            one = self._round(open_)
+            two = self._round(open_.join(one, "row_id", "left_anti"))
+            done = materialize(one.unionByName(two), "decided")
             repeats.append(done.filter("repeat").select("row_id"))
-            open_ = materialize(open_.join(done, "row_id", "left_anti"), "open")
-        out = materialize(reduce(DataFrame.unionByName, repeats), "repeats")
+            open_ = open_.join(done, "row_id", "left_anti")
+        out = reduce(DataFrame.unionByName, repeats)
         self.append(vec.join(out, "row_id", "left_anti"), paths.join(out, "row_id", "left_anti"))
+        # broadcast tables and shuffle files of the batch stay until the driver's garbage is collected
+        self.spark.sparkContext._jvm.System.gc()
         return out
 
+    @staticmethod
+    def _round(open_: DataFrame) -> DataFrame:
+        """(row_id, repeat): rows without an earlier open row are accepted, those with an earlier one of these fall."""
+        mine = open_.filter("own").select("row_id", "key")
+        first = mine.groupBy("key").agg(F.min("row_id").alias("first"))
+        accepted = open_.join(first, "key").groupBy("row_id").agg(F.min("first").alias("first")).filter("first = row_id").select("row_id")
+        taken = mine.join(accepted, "row_id").groupBy("key").agg(F.min("row_id").alias("first"))
+        falls = open_.join(taken, "key").filter("first < row_id").select("row_id", F.lit(True).alias("repeat")).distinct()
+        return accepted.select("row_id", F.lit(False).alias("repeat")).unionByName(falls)
+
 
 def repeats_by_batch(df: DataFrame, threshold: float = 0.95, batch_col: str = "batch_no", index: HistoryIndex | None = None) -> DataFrame:
     """(row_id): rows of later batches that repeat an accepted row; batch 0 is the history.
