@@ -2,7 +2,7 @@
 
 A record is a set of tokens: its normalized path is one, its vector gives the families it reaches
 and the nearest pivots (see ``permutation``). Pivots are ordered by how rare they are in the
-history the index was fitted on; vectors that may be within the threshold share at least
+sample of the history that the index is fitted on; vectors that may be within the threshold share at least
 ``overlap`` of their ``prefix`` nearest pivots, so only the ``prefix - overlap + 1`` rarest are
 posted and probed. Postings (token, id, bit sketch) are kept in a table bucketed by token.
 
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm.names import same_file_key
-from framelake.llm.permutation import IndexParams, fit_pivots, slices, stage
+from framelake.llm.permutation import IndexParams, fit_pivots, permutations, slices, stage
 from framelake.llm.vectors import exact_cos, unit, unpack
 from framelake.session import materialize, scratch_path
 
@@ -96,46 +96,43 @@ class HistoryIndex:
 
     # -- tokens ---------------------------------------------------------------------------
     def fit(self, history: DataFrame) -> None:
-        """Pivots from a bounded sample of the history."""
+        """Pivots from a bounded sample of the history, ranked by how rarely the sample is near them."""
         self.pivots = fit_pivots(history, self.p)
+        x = self.pivots[0]
+        rank = np.zeros(len(x), dtype=int)
+        if len(x):
+            n = np.bincount(permutations(x @ x.T, self.p.prefix).ravel(), minlength=len(x))
+            rank[np.lexsort((np.arange(len(x)), n))] = np.arange(len(x))
+        self.rare = (rank, self.p.prefix - self.overlap + 1)
 
     def represent(self, df: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
-        """Vectors (row_id, vkey, tokens' parts, packed) and paths (row_id, pkey) of a table, both narrow."""
-        vec = stage(df, *self.pivots, self.p, keep=keep).withColumn("vkey", F.xxhash64("packed", F.lit(VEC_SALT)))
+        """Vectors (row_id, vkey, what tokens are made of, packed) and paths (row_id, pkey) of a table, both narrow."""
+        vec = stage(df, *self.pivots, self.p, keep=keep, rare=self.rare).withColumn("vkey", F.xxhash64("packed", F.lit(VEC_SALT)))
         pkey = F.pandas_udf(_path_keys, "string")(F.col("kept_path"))
         paths = df.select("row_id", *keep, pkey.alias("p")).select("row_id", *keep, F.when(F.col("p").isNotNull(), F.xxhash64("p", F.lit(PATH_SALT))).alias("pkey"))
         return vec, paths
 
     def weigh(self, vec: DataFrame) -> None:
-        """Frequencies of the tokens of the history: at most two a pivot, so they fit the driver."""
-        freq = dict(vec.select(F.explode(self._all_tokens()).alias("t")).groupBy("t").count().toPandas().itertuples(index=False, name=None))
-        n = len(self.pivots[0])
-        order = sorted(range(n), key=lambda i: (freq.get(PIVOT_BASE + i, 0), i))
-        rank = np.empty(n, dtype=int)
-        rank[order] = np.arange(n)
-        self.rank = [int(r) for r in rank]
-        self.salts = {int(t): int(-(-c // self.salt_rows)) for t, c in freq.items() if c > self.salt_rows}
-
-    def _far(self) -> Column:
-        return F.when(F.col("peak") < self.p.near, F.transform("top", lambda x: x.cast("long") + PIVOT_BASE)).otherwise(F.array().cast("array<bigint>"))
+        """Salts of the tokens of more than ``salt_rows`` postings; there are at most postings/salt_rows of them."""
+        hot = vec.select(F.explode(self._all_tokens()).alias("t")).groupBy("t").count().filter(F.col("count") > self.salt_rows).limit(100_000).collect()
+        self.salts = {int(r["t"]): min(1000, int(-(-r["count"] // self.salt_rows))) for r in hot}
 
     def _all_tokens(self) -> Column:
-        return F.concat(F.col("families").cast("array<bigint>"), self._far())
+        far = F.when(F.col("peak") < self.p.near, F.transform("top", lambda x: x.cast("long") + PIVOT_BASE)).otherwise(F.array().cast("array<bigint>"))
+        return F.concat(F.col("families").cast("array<bigint>"), far)
 
     def tokens(self, vec: DataFrame, probe: bool) -> DataFrame:
         """(bucket, token, vkey, sketch): one row for every family and every rare pivot of a vector.
 
         Tokens of many postings are salted: a posting goes to one salt, a probe to all of them.
         """
-        n = self.p.prefix - self.overlap + 1
-        rank = F.expr(f"array({', '.join(map(str, self.rank)) or 0})")
-        rare = F.transform(F.slice(F.array_sort(F.transform(self._far(), lambda t: F.struct(F.get(rank, (t - PIVOT_BASE).cast("int")).alias("r"), t.alias("t")))), 1, n), lambda s: s["t"])
-        t = vec.select("vkey", "sketch", F.explode(F.concat(F.col("families").cast("array<bigint>"), rare)).alias("token")).dropDuplicates(["vkey", "token"])
-        salts = F.lit(1)
-        for tok, s in self.salts.items():
-            salts = F.when(F.col("token") == tok, s).otherwise(salts)
-        which = F.sequence(F.lit(0), salts - 1) if probe else F.array(F.pmod(F.col("vkey"), salts).cast("int"))
-        t = t.select("*", F.explode(which).alias("salt"))
+        t = vec.select("vkey", "sketch", F.explode(self._all_tokens()).alias("token")).dropDuplicates(["vkey", "token"])
+        if self.salts:
+            n = F.coalesce(F.create_map(*[F.lit(x) for kv in self.salts.items() for x in kv])[F.col("token")], F.lit(1))
+            which = F.sequence(F.lit(0), n - 1) if probe else F.array(F.pmod(F.col("vkey"), n).cast("int"))
+            t = t.select("*", F.explode(which).alias("salt"))
+        else:
+            t = t.withColumn("salt", F.lit(0))
         return t.select(F.pmod(F.xxhash64("token", "salt"), F.lit(self.buckets)).cast("int").alias("bucket"), (F.col("token") * 1024 + F.col("salt")).alias("token"), "vkey", "sketch")
 
     # -- batches --------------------------------------------------------------------------
@@ -179,13 +176,10 @@ class HistoryIndex:
         rows = left.join(shared, "key", "left_semi").select("row_id").distinct()
         open_ = materialize(left.join(rows, "row_id", "left_semi"), "open")
         while not open_.isEmpty():
-            # two rounds at a time, as few chains are longer
-            one = self._round(open_)
-            two = self._round(open_.join(one, "row_id", "left_anti"))
-            done = materialize(one.unionByName(two), "decided")
+            done = materialize(self._round(open_), "decided")
             repeats.append(done.filter("repeat").select("row_id"))
-            open_ = open_.join(done, "row_id", "left_anti")
-        out = reduce(DataFrame.unionByName, repeats)
+            open_ = materialize(open_.join(done, "row_id", "left_anti"), "open")
+        out = materialize(reduce(DataFrame.unionByName, repeats), "repeats")
         self.append(vec.join(out, "row_id", "left_anti"), paths.join(out, "row_id", "left_anti"))
         # broadcast tables and shuffle files of the batch stay until the driver's garbage is collected
         self.spark.sparkContext._jvm.System.gc()
