@@ -158,49 +158,53 @@ class HistoryIndex:
         return both.select("key", "other", "a", "b").mapInArrow(_verify(self.threshold, self.p.dim), "key long, other long")
 
     def ingest(self, vec: DataFrame, paths: DataFrame) -> DataFrame:
-        """(row_id): the repeats of a batch; everything else is appended to the history.
+        """(row_id): the repeats of what is delivered; everything else is appended to the history.
 
-        Within the batch, smaller ids come first. A row is a repeat if an accepted row, of the
-        history or earlier in the batch, has its path or its vector; repeats match nothing.
+        ``paths`` and ``vec`` carry ``b``, the delivery; rows are taken by (b, row_id). A row is a
+        repeat if an accepted row, of the history or earlier in the delivery, has its path or its
+        vector; repeats match nothing.
         """
-        own = paths.filter("pkey is not null").select("row_id", F.col("pkey").alias("key")).unionByName(vec.select("row_id", F.col("vkey").alias("key"))).withColumn("own", F.lit(True))
+        pos = F.struct("b", "row_id").alias("pos")
+        own = paths.filter("pkey is not null").select(pos, F.col("pkey").alias("key")).unionByName(vec.select(pos, F.col("vkey").alias("key"))).withColumn("own", F.lit(True))
         close = self.near(vec)
-        others = vec.select("row_id", F.col("vkey").alias("key")).join(close, "key").select("row_id", F.col("other").alias("key"), F.lit(False).alias("own"))
+        others = vec.select(pos, F.col("vkey").alias("key")).join(close, "key").select("pos", F.col("other").alias("key"), F.lit(False).alias("own"))
         watch = own.unionByName(others)
         known = self._keys().select("key", F.lit(True).alias("known")).join(watch.select("key").distinct(), "key", "left_semi").distinct()
         watch = materialize(watch.join(known, "key", "left"), "watch")
-        repeats = [watch.filter("known").select("row_id").distinct()]
-        left = watch.join(repeats[0], "row_id", "left_anti").select("row_id", "key", "own")
-        # only rows that share a key with another row of the batch are in question
-        shared = left.groupBy("key").agg(F.min("row_id").alias("lo"), F.max("row_id").alias("hi")).filter("lo <> hi").select("key")
-        rows = left.join(shared, "key", "left_semi").select("row_id").distinct()
-        open_ = materialize(left.join(rows, "row_id", "left_semi"), "open")
+        repeats = [watch.filter("known").select("pos").distinct()]
+        left = watch.join(repeats[0], "pos", "left_anti").select("pos", "key", "own")
+        # only rows that share a key with another row of the delivery are in question
+        shared = left.groupBy("key").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).filter("lo <> hi").select("key")
+        rows = left.join(shared, "key", "left_semi").select("pos").distinct()
+        open_ = materialize(left.join(rows, "pos", "left_semi"), "open")
+        # rounds: a row falls to an earlier accepted row, and is accepted once no earlier row is open
         while not open_.isEmpty():
             done = materialize(self._round(open_), "decided")
-            repeats.append(done.filter("repeat").select("row_id"))
-            open_ = materialize(open_.join(done, "row_id", "left_anti"), "open")
-        out = materialize(reduce(DataFrame.unionByName, repeats), "repeats")
+            repeats.append(done.filter("repeat").select("pos"))
+            open_ = materialize(open_.join(done, "pos", "left_anti"), "open")
+        out = materialize(reduce(DataFrame.unionByName, repeats).select("pos.row_id"), "repeats")
         self.append(vec.join(out, "row_id", "left_anti"), paths.join(out, "row_id", "left_anti"))
-        # broadcast tables and shuffle files of the batch stay until the driver's garbage is collected
+        # broadcast tables and shuffle files of the delivery stay until the driver's garbage is collected
         self.spark.sparkContext._jvm.System.gc()
         return out
 
     @staticmethod
     def _round(open_: DataFrame) -> DataFrame:
-        """(row_id, repeat): rows without an earlier open row are accepted, those with an earlier one of these fall."""
-        mine = open_.filter("own").select("row_id", "key")
-        first = mine.groupBy("key").agg(F.min("row_id").alias("first"))
-        accepted = open_.join(first, "key").groupBy("row_id").agg(F.min("first").alias("first")).filter("first = row_id").select("row_id")
-        taken = mine.join(accepted, "row_id").groupBy("key").agg(F.min("row_id").alias("first"))
-        falls = open_.join(taken, "key").filter("first < row_id").select("row_id", F.lit(True).alias("repeat")).distinct()
-        return accepted.select("row_id", F.lit(False).alias("repeat")).unionByName(falls)
+        """(pos, repeat): rows without an earlier open row are accepted, those with an earlier one of these fall."""
+        mine = open_.filter("own").select("pos", "key")
+        first = mine.groupBy("key").agg(F.min("pos").alias("first"))
+        accepted = open_.join(first, "key").groupBy("pos").agg(F.min("first").alias("first")).filter("first = pos").select("pos")
+        taken = mine.join(accepted, "pos").groupBy("key").agg(F.min("pos").alias("first"))
+        falls = open_.join(taken, "key").filter("first < pos").select("pos", F.lit(True).alias("repeat")).distinct()
+        return accepted.select("pos", F.lit(False).alias("repeat")).unionByName(falls)
 
 
-def repeats_by_batch(df: DataFrame, threshold: float = 0.95, batch_col: str = "batch_no", index: HistoryIndex | None = None) -> DataFrame:
+def repeats_by_batch(df: DataFrame, threshold: float = 0.95, batch_col: str = "batch_no", index: HistoryIndex | None = None, together: int = 3) -> DataFrame:
     """(row_id): rows of later batches that repeat an accepted row; batch 0 is the history.
 
-    Batches are delivered in ascending order; rows of a null batch are not delivered. An empty
-    table, or one of batch 0 alone, gives no rows. Other columns are not read.
+    Batches are delivered in ascending order, ``together`` waiting ones at a time, which changes
+    the number of steps and nothing else; rows of a null batch are not delivered. An empty table,
+    or one of batch 0 alone, gives no rows. Other columns are not read.
     """
     spark = df.sparkSession
     ix = index or HistoryIndex(spark, threshold)
@@ -208,12 +212,12 @@ def repeats_by_batch(df: DataFrame, threshold: float = 0.95, batch_col: str = "b
     ix.fit(src.filter("b = 0"))
     vec, paths = ix.represent(src, ["b"])
     vec, paths = materialize(vec, "vec", ["b"]), materialize(paths, "paths", ["b"])
-    numbers = [r[0] for r in paths.select("b").distinct().orderBy("b").collect()]
+    numbers = [r[0] for r in paths.select("b").distinct().orderBy("b").collect() if r[0] > 0]
     v0, p0 = vec.filter("b = 0"), paths.filter("b = 0")
     ix.weigh(v0)
     ix.append(v0, p0)
     out = spark.createDataFrame([], "row_id long")
-    for n in numbers:
-        if n > 0:
-            out = out.unionByName(ix.ingest(vec.filter(F.col("b") == n), paths.filter(F.col("b") == n)))
+    for k in range(0, len(numbers), together):
+        of = F.col("b").between(numbers[k], numbers[k : k + together][-1])
+        out = out.unionByName(ix.ingest(vec.filter(of), paths.filter(of)))
     return out
