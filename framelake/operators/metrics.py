@@ -33,7 +33,7 @@ def score_stats(df: DataFrame, col: str, group: list[str] | None = None) -> Data
 
 def histogram(df: DataFrame, value: Column, lo: int = 1, hi: int = 10) -> DataFrame:
     """(bin, n): whole numbers clamped to lo..hi, every bin present; nulls are left out."""
-    bins = df.select(F.least(F.greatest(value.cast("int"), F.lit(lo)), F.lit(hi)).alias("bin")).filter("bin is not null")
+    bins = df.filter(value.isNotNull()).select(F.least(F.greatest(value.cast("int"), F.lit(lo)), F.lit(hi)).alias("bin"))
     return filled_counts(bins, "bin", list(range(lo, hi + 1)))
 
 

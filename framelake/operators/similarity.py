@@ -181,7 +181,8 @@ def assign(found: DataFrame, known: DataFrame, found_id: str, known_id: str, lim
     rows = []
     if len(a) and len(b):
         cost = 1.0 - np.stack(a["c"].to_list()) @ np.stack(b["c"].to_list()).T
-        rows = [(a["i"][i].item(), b["i"][j].item(), float(cost[i, j])) for i, j in least_cost(cost) if (cost[i, j] <= limit if inclusive else cost[i, j] < limit)]
+        plain = lambda v: v.item() if hasattr(v, "item") else v
+        rows = [(plain(a["i"][i]), plain(b["i"][j]), float(cost[i, j])) for i, j in least_cost(cost) if (cost[i, j] <= limit if inclusive else cost[i, j] < limit)]
     kinds = [d.schema[i].dataType.simpleString() for d, i in ((found, found_id), (known, known_id))]
     return found.sparkSession.createDataFrame(rows, f"{found_id} {kinds[0]}, {known_id} {kinds[1]}, distance double")
 

@@ -1,11 +1,21 @@
-"""Queries of the core operators with their SQL."""
+"""All queries of the core."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries() -> dict:
-    return {}
+from framelake.plans import analytics, files, frames, streams, vectors  # noqa: F401  (they register their queries)
+from framelake.plans.registry import QUERIES, SQL, Query
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best five keepers of each file."""
+    return QUERIES["op069_topk_per_file"](spark, sf_dir)

@@ -236,7 +236,7 @@ def _(s, d):
     return views.year_states(table(s, d, "results"), "source_year", "source_month", F.col("quality_bucket") == "great")
 
 
-@query("op155_toggle", "select user_id, array_to_string(list_sort(list_concat(list_filter(a, x -> not list_contains(b, x)), list_filter(b, x -> not list_contains(a, x)))), ',') as chosen from (select user_id, list(distinct event_type) filter (value > 50) as a, list(distinct event_type) filter (value > 90) as b from events group by user_id) where a is not null and b is not null")
+@query("op155_toggle", "select user_id, array_to_string(list_sort(list_concat(list_filter(a, lambda x: not list_contains(b, x)), list_filter(b, lambda x: not list_contains(a, x)))), ',') as chosen from (select user_id, list(distinct event_type) filter (value > 50) as a, list(distinct event_type) filter (value > 90) as b from events group by user_id) where a is not null and b is not null")
 def _(s, d):
     e = table(s, d, "events").groupBy("user_id").agg(F.collect_set(F.when(F.col("value") > 50, F.col("event_type"))).alias("a"), F.collect_set(F.when(F.col("value") > 90, F.col("event_type"))).alias("b"))
     return e.filter((F.size("a") > 0) & (F.size("b") > 0)).select("user_id", F.array_join(views.toggled(F.col("a"), F.col("b")), ",").alias("chosen"))
@@ -318,7 +318,7 @@ def _(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(r, ",").alias("reasons"))
 
 
-@query("op124_keypoint_summary", "select reason, count(*) as n from (select unnest(list_filter([case when not (l_tax < l_discount and l_discount < l_quantity / 50) then 'vertical_order' end, case when not (case when l_quantity <> 0 then l_discount * 100 / l_quantity end between 0.25 and 0.75) then 'ratio' end, case when l_quantity / 100 < 0.25 then 'span' end], x -> x is not null)) as reason from lineitem) group by reason")
+@query("op124_keypoint_summary", "select reason, count(*) as n from (select unnest(list_filter([case when not (l_tax < l_discount and l_discount < l_quantity / 50) then 'vertical_order' end, case when not (case when l_quantity <> 0 then l_discount * 100 / l_quantity end between 0.25 and 0.75) then 'ratio' end, case when l_quantity / 100 < 0.25 then 'span' end], lambda x: x is not null)) as reason from lineitem) group by reason")
 def _(s, d):
     q = F.col("l_quantity")
     r = S.keypoint_anomalies(F.col("l_tax"), F.col("l_discount"), q / 50, F.col("l_discount") * 100, q, q, F.lit(100.0))
