@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.plans import analytics, files, frames, streams, vectors  # noqa: F401  (they register their queries)
+from framelake.plans import analytics, files, frames, media, streams, vectors  # noqa: F401  (they register their queries)
 from framelake.plans.registry import QUERIES, SQL, Query
 
 
