@@ -57,15 +57,21 @@ def knn(df: DataFrame, k: int = 5, floor: float = 0.5, params: IndexParams | Non
 
     Ties in the cosine go to the smaller id; neighbours at or below ``floor`` are left out.
     Null, short, non-finite and all-zero vectors neither ask nor answer; an empty table gives
-    an empty result. Repeated ids are not expected. Further columns are not read.
+    an empty result. Repeated ids are not expected. Further columns are not read. Exact copies of a
+    vector beyond its k + 1 smallest ids are answered without being compared.
     """
     p = params or IndexParams()
-    files = build(df.select("row_id", "embedding"), p)
-    return top_k(files, k, floor, p)
+    files, extra = build(df.select("row_id", "embedding"), p, copies=k + 1)
+    near = top_k(files, k, floor, p)
+    if extra is None or floor >= 1:
+        return near
+    # a copy beyond the k + 1 of the smallest ids has the first k of these for neighbours
+    more = extra.select("row_id", F.posexplode(F.slice("first", 1, k)).alias("pos", "other"))
+    return near.unionByName(more.select("row_id", "other", F.lit(1.0).alias("cos"), (F.col("pos") + 1).alias("rank")))
 
 
 def top_k(files: DataFrame, k: int, floor: float, p: IndexParams) -> DataFrame:
-    cut = blocked(files, "family", p.block_rows)
+    cut = blocked(files, "family", 2 * p.block_rows)
     per = cut.groupBy("unit").applyInArrow(_top_in_unit(k, floor, p.dim), "row_id long, other long, cos double")
     best = per.groupBy("row_id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cos")).alias("neg"), F.col("other").alias("other")))), 1, k).alias("best"))
     return best.select("row_id", F.posexplode("best").alias("pos", "b")).select("row_id", F.col("b.other").alias("other"), (-F.col("b.neg")).alias("cos"), (F.col("pos") + 1).alias("rank"))

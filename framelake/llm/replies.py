@@ -71,7 +71,7 @@ def unwrap(text: str) -> str:
     """Without quotation marks around the whole."""
     s = text.strip()
     for a, b in ("“”", '""', "„“", "„”", "«»"):
-        if len(s) > 2 and s[0] == a and s[-1] == b and b not in _QUOTED.sub("", s[1:-1]):
+        if len(s) > 2 and s[0] == a and s[-1] == b and b not in (s[1:-1] if a == b else _QUOTED.sub("", s[1:-1])):
             return s[1:-1]
     return text
 
@@ -98,25 +98,26 @@ def tail_keys(text: str) -> tuple[str | None, str | None]:
     return (" ".join(w) if len(w) == 2 else None), (w[-1] if w else None)
 
 
-def ends(text: str, lines: bool) -> Counter:
-    """(key, ended) counts of all words and pairs; a statement ends at a full stop, with ``lines`` also at a line.
+def ends(text: str, lines: bool) -> dict[str, bool]:
+    """The words and pairs of a text, and whether they end a statement in it.
 
-    The end of the text itself tells nothing, since it may be the break that is looked for.
+    A statement ends at a full stop, with ``lines`` also at a line. The end of the text itself
+    tells nothing, since it may be the break that is looked for.
     """
-    out: Counter = Counter()
+    out: dict[str, bool] = {}
     before = None
-    t = _TOKEN.findall(_CLOSING.sub("", text))
-    for a, b in zip(t, [*t[1:], None]):
+    t = _TOKEN.findall(_CLOSING.sub("", text.casefold()))
+    for a, b in zip(t, t[1:]):
         if not a[0].isalnum():
-            before = None if a[0] in ".!?\n" else before
+            if a[0] not in ".!?\n":
+                before = None
             continue
-        w = a.casefold()
-        if b is not None:
-            end = b[0] in ".!?" or (lines and b == "\n")
-            out[w, end] += 1
-            if before:
-                out[f"{before} {w}", end] += 1
-        before = w
+        end = b[0] in ".!?" or (lines and b == "\n")
+        out[a] = out.get(a, False) or end
+        if before:
+            k = f"{before} {a}"
+            out[k] = out.get(k, False) or end
+        before = a
     return out
 
 
@@ -230,12 +231,16 @@ def _judge(bc, margin: float):
 
 
 def _count_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replies that a key is in, and those in which it ends a statement."""
     for b in batches:
-        total: dict[str, Counter] = {}
+        met: dict[str, Counter] = {}
+        ended: dict[str, Counter] = {}
         for f, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if t:
-                total.setdefault(f, Counter()).update(ends(t, lines=f == "prompt1"))
-        rows = [(f, k, n if e else 0, n) for f, c in total.items() for (k, e), n in c.items()]
+                e = ends(t, lines=f == "prompt1")
+                met.setdefault(f, Counter()).update(e.keys())
+                ended.setdefault(f, Counter()).update(k for k, v in e.items() if v)
+        rows = [(f, k, ended[f][k], n) for f, c in met.items() for k, n in c.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["field", "k", "ended", "n"])
 
