@@ -9,7 +9,6 @@ from framelake.functions import text as X
 from framelake.operators import dedup, metrics, sampling, selection, views
 from framelake.plans.registry import query, table
 
-BOX = [F.col(f"face_{k}") for k in ("x1", "y1", "x2", "y2")]
 AREA_SQL = "case when face_x1 is not null and face_y1 is not null and face_x2 is not null and face_y2 is not null and frame_w > 0 and frame_h > 0 then least(greatest(cast(greatest(face_x2 - face_x1, 0) as double) * greatest(face_y2 - face_y1, 0) / (cast(frame_w as double) * frame_h), 0.0), 1.0) end"
 NN = "case when isnan({0}) then null else {0} end"
 SCORE_SQL = "case when p_okay is not null or p_good is not null then least(greatest(0.5 * coalesce(p_okay, 0.0) + coalesce(p_good, 0.0), 0.0), 1.0) end"
@@ -17,10 +16,14 @@ QUALITY_SQL = f"least(greatest(coalesce(0.6 * ({SCORE_SQL}) + 0.3 * coalesce({NN
 DATE_OF = "make_timestamp(cast(epoch_us(processed_at) as bigint))"
 
 
+def box():
+    return [F.col(f"face_{k}") for k in ("x1", "y1", "x2", "y2")]
+
+
 def scored(r):
     """Keeper rows with their scores; a frame here has at most one face."""
     s = F.array(S.face_score(F.col("p_okay"), F.col("p_good")))
-    a = F.array(S.area_fraction(*BOX, F.col("frame_w"), F.col("frame_h")))
+    a = F.array(S.area_fraction(*box(), F.col("frame_w"), F.col("frame_h")))
     return r.withColumn("score", S.quality_score(s, a, S.no_nan(F.col("aesthetics_norm"))))
 
 
@@ -45,19 +48,19 @@ FACES_SQL = "(select *, cast(face_x2 - face_x1 as double) * (face_y2 - face_y1)
 
 @query("op023_face_rejection", f"select row_id, {REASON_SQL} as reason from {FACES_SQL}")
 def _(s, d):
-    return table(s, d, "results").filter("face_x1 is not null").select("row_id", S.rejection(*BOX, F.col("frame_w"), F.col("frame_h")).alias("reason"))
+    return table(s, d, "results").filter("face_x1 is not null").select("row_id", S.rejection(*box(), F.col("frame_w"), F.col("frame_h")).alias("reason"))
 
 
 @query("op024_split_rejected", f"select row_id, {REASON_SQL} is null as passing from {FACES_SQL}")
 def _(s, d):
-    r = table(s, d, "results").filter("face_x1 is not null").withColumn("faces", F.array(F.struct(S.rejection(*BOX, F.col("frame_w"), F.col("frame_h")).alias("reason"))))
+    r = table(s, d, "results").filter("face_x1 is not null").withColumn("faces", F.array(F.struct(S.rejection(*box(), F.col("frame_w"), F.col("frame_h")).alias("reason"))))
     ok = F.filter("faces", lambda f: f["reason"].isNull())
     return r.select("row_id", (F.size(ok) > 0).alias("passing"))
 
 
 @query("op103_rejection_counts", f"select kind, count(*) as n from (select split_part({REASON_SQL}, '(', 1) as kind from {FACES_SQL}) where kind is not null group by kind union all select 'frames_without_face', count(*) from (select {REASON_SQL} as r from {FACES_SQL}) where r is not null")
 def _(s, d):
-    r = table(s, d, "results").filter("face_x1 is not null").withColumn("reason", S.rejection(*BOX, F.col("frame_w"), F.col("frame_h")))
+    r = table(s, d, "results").filter("face_x1 is not null").withColumn("reason", S.rejection(*box(), F.col("frame_w"), F.col("frame_h")))
     kinds = F.filter(F.array(S.rejection_kind(F.col("reason"))), lambda k: k.isNotNull())
     return metrics.rejection_counts(r, kinds, F.col("reason").isNull().cast("int"))
 
@@ -279,7 +282,7 @@ def _(s, d):
 
 @query("op166_area_fraction", f"select row_id, round({AREA_SQL}, 6) as area from results")
 def _(s, d):
-    return table(s, d, "results").select("row_id", F.round(S.area_fraction(*BOX, F.col("frame_w"), F.col("frame_h")), 6).alias("area"))
+    return table(s, d, "results").select("row_id", F.round(S.area_fraction(*box(), F.col("frame_w"), F.col("frame_h")), 6).alias("area"))
 
 
 @query("op167_face_quality", "select l_orderkey, round(least(max(sc) + least(0.15 * coalesce(sum(sc) filter (rn > 1 and sc >= 0.4), 0), 0.25), 1.0), 6) as q from (select l_orderkey, l_discount * 8 as sc, row_number() over (partition by l_orderkey order by l_discount desc, l_linenumber) as rn from lineitem) group by l_orderkey")
@@ -307,7 +310,7 @@ def _(s, d):
 @query("op170_breakdown", f"select row_id, round({SCORE_SQL}, 3) as face, round({AREA_SQL}, 3) as area from results where row_id % 7 <> 9")
 def _(s, d):
     r = table(s, d, "results")
-    b = F.struct(F.round(S.face_score(F.col("p_okay"), F.col("p_good")), 3).alias("face"), F.round(S.area_fraction(*BOX, F.col("frame_w"), F.col("frame_h")), 3).alias("area"))
+    b = F.struct(F.round(S.face_score(F.col("p_okay"), F.col("p_good")), 3).alias("face"), F.round(S.area_fraction(*box(), F.col("frame_w"), F.col("frame_h")), 3).alias("area"))
     return r.select("row_id", b.alias("b")).select("row_id", "b.*")
 
 
