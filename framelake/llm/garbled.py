@@ -197,9 +197,12 @@ def improbable_runs(text: str, m: PairModel, floor: float = 1.0, rare: int = 3)
 
 def _restore_chunk(left: str, s: str, right: str, m: PairModel, gain: float, depth: int = 3) -> tuple[str, float]:
     """Best UTF-8 reading of characters beyond ASCII between their neighbours, and what it gains."""
-    base = m.likelihood(left + s + right)
+    readings = _readings(s)
     best, won = s, 0.0
-    for u in _readings(s):
+    if not readings:
+        return best, won
+    base = m.likelihood(left + s + right)
+    for u in readings:
         v, more = u, 0.0
         if depth > 1:
             v = _BEYOND.sub(lambda k: _restore_chunk("", k[0], "", m, gain, depth - 1)[0], u)
@@ -238,6 +241,8 @@ def _restore_bytes(text: str, lo: int, hi: int, m: PairModel, gain: float) -> tu
     left, right = text[lo - 1 : lo] or "\n", text[hi : hi + 1] or "\n"
     base = m.likelihood(left + run + right)
     best, won = run, 0.0
+    if -base < gain:  # no reading is likelier than certain
+        return best, won
     for wrong, right_enc in SINGLE_BYTE:
         raw = to_bytes(run, wrong)
         if raw is None:
