@@ -59,9 +59,9 @@ def asof_forward(targets: DataFrame, rows: DataFrame, key: list[str], t: str, va
     """
     pack = F.struct(F.col(t).alias("at"), *value)
     both = rows.select(*key, t, F.lit(1).alias("_k"), pack.alias("_v")).unionByName(targets.select(*key, t, F.lit(0).alias("_k")), allowMissingColumns=True)
-    # of rows at one time the smallest values come first
-    w = Window.partitionBy(*key).orderBy(t, "_k", "_v").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    out = both.withColumn("_n", F.first("_v", ignorenulls=True).over(w)).filter("_k = 0")
+    # backwards, so that the frame grows by a row a step; of rows at one time the smallest values come last
+    w = Window.partitionBy(*key).orderBy(F.desc(t), F.desc("_k"), F.desc("_v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.withColumn("_n", F.last("_v", ignorenulls=True).over(w)).filter("_k = 0")
     return out.select(*key, t, F.col("_n.at").alias("next_t"), *[F.col(f"_n.{c}").alias(c) for c in value])
 
 
