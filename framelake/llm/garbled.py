@@ -83,9 +83,18 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
 
 
+FLUSH = 1 << 20  # characters that are counted at once
+
+
+def _counted(keys: list[np.ndarray], outside: list[np.ndarray]) -> pa.RecordBatch:
+    k, o = np.concatenate(keys), np.concatenate(outside)
+    u, inv = np.unique(k, return_inverse=True)
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.bincount(inv, minlength=len(u)).astype(np.int64)), pa.array(np.bincount(inv, weights=o, minlength=len(u)).astype(np.int64))], names=["pair", "n", "outside"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys, outside = [], []
+        keys, outside, size = [], [], 0
         for text in b.column(0).to_pylist():
             if not text:
                 continue
@@ -97,12 +106,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for lo, hi in invertible_spans(text):
                     free[lo : hi + 1] = False
             # pairs inside ASCII are kept by their first character only
-            keys += [np.where(use, k, c[:-1] << 21)]
-            outside += [free]
+            keys.append(np.where(use, k, c[:-1] << 21))
+            outside.append(free)
+            size += len(k)
+            if size > FLUSH:
+                yield _counted(keys, outside)
+                keys, outside, size = [], [], 0
         if keys:
-            k, o = np.concatenate(keys), np.concatenate(outside)
-            u, inv = np.unique(k, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.bincount(inv, minlength=len(u)).astype(np.int64)), pa.array(np.bincount(inv, weights=o, minlength=len(u)).astype(np.int64))], names=["pair", "n", "outside"])
+            yield _counted(keys, outside)
 
 
 def pair_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:

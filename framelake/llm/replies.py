@@ -141,14 +141,28 @@ def _plain(text: str) -> str:
 
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        lang = np.array([LANGUAGES.index(x) for x in b.column(0).to_pylist()], dtype=np.int64)
-        # letters as they are and without marks, as careless writers drop them
-        for texts in (t := [x or "" for x in b.column(1).to_pylist()], [_plain(x) for x in t]):
-            code, own = _trigrams(texts)
-            if len(code):
-                key = np.stack([lang[own], code])
-                u, n = np.unique(key, axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1]), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
+        of: dict[str, list[str]] = {}
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            # letters as they are and without marks, as careless writers drop them
+            of.setdefault(lang, []).extend((text or "", _plain(text or "")))
+        for lang, texts in of.items():
+            for part in _by_size(texts):
+                u, n = np.unique(_trigrams(part)[0], return_counts=True)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), LANGUAGES.index(lang))), pa.array(u), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
+
+
+def _by_size(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts in lists of about so many characters."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size > most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 class LanguageModel:
@@ -195,7 +209,7 @@ def _judge(bc, margin: float):
             if not b.num_rows:
                 continue
             fields, texts = b.column(2).to_pylist(), [t and unwrap(t) for t in b.column(3).to_pylist()]
-            post = lm.posteriors([_NAME.sub(" ", _QUOTED.sub(" ", t or "")) for t in texts])
+            post = np.concatenate([lm.posteriors(p) for p in _by_size([_NAME.sub(" ", _QUOTED.sub(" ", t or "")) for t in texts])])
             defects: list[str | None] = []
             probes: list[list[dict]] = []
             for k, (f, t) in enumerate(zip(fields, texts)):
