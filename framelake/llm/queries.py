@@ -14,11 +14,13 @@ from framelake.llm.packing import containers, fill_report
 from framelake.llm.replies import defects, replies_of
 from framelake.llm.splits import overlap_pairs, overlap_report
 from framelake.llm.tokens import encode
+from framelake.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

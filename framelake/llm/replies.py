@@ -33,7 +33,8 @@ LANGUAGES = ("en", "de", "fr", "es", "pt", "pl", "ru", "ja")
 
 _REFUSAL = re.compile(
     r"\b(?:i|we)\b[^.!?]{0,40}?\b(?:can ?not|can['’]t|could not|couldn['’]t|may not|will not|won['’]t|am not able|am unable|are unable|must decline|have to decline|decline to|refuse to|prefer not|(?:would|['’]d) rather not|(?:don['’]t|do not) (?:have the ability|feel comfortable)|have to pass)\b"
-    r"|\bno way for me to\b|\bnot possible for me to\b|\bmy (?:policies|policy|guidelines|apologies;)|\bagainst my\b|\bthis assistant\b|\bthis request can|\bnot something (?:i|we)\b|\bno (?:description|caption) can be given\b|\bas an? (?:ai|language) model\b",
+    r"|\bno way for me to\b|\bnot possible for me to\b|\bmy (?:policies|policy|guidelines|apologies;)|\bagainst my\b|\bthis assistant\b|\bthis request can|\bnot something (?:i|we)\b|\bno (?:description|caption) can be given\b|\bas an? (?:ai|language) model\b"
+    r"|\bunable to (?:assist|help|comply|answer)\b|(?:^|[:\[\n])\s*(?:cannot|can not|can['’]t|unable|not able|not allowed|declined?|refused?|withheld|prefer not|no comment)\b",
     re.I,
 )
 _QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"\n]*\"")

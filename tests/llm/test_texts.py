@@ -23,7 +23,7 @@ def test_not_empty(t):
     assert not replies.is_empty(t)
 
 
-@pytest.mark.parametrize("t", ["I'm sorry, but I cannot comment on this.", "This request cannot be fulfilled.", "setting: we regret that we can’t say\nactivity: it is not possible for me", "As a language model, I pass"])
+@pytest.mark.parametrize("t", ["I'm sorry, but I cannot comment on this.", "This request cannot be fulfilled.", "setting: we regret that we can’t say\nactivity: it is not possible for me", "As a language model, I pass", "setting: unable to assist\nactivity: unable to assist"])
 def test_refusal(t):
     assert replies.is_refusal(t)
 
