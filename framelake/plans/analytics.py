@@ -325,7 +325,19 @@ def _(s, d):
     return r.select("row_id", X.source_date(F.lit(None).cast("string"), F.col("caption_timestamp"), F.col("video_path"), F.col("processed_at").cast("timestamp")).alias("s")).select("row_id", "s.*")
 
 
-@query("op096_path_dates")
+Y8 = r"(?:^|\D)(20\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?:\D|$)"
+YM = r"(?:^|\D)(20\d{2})[-_./]?(0[1-9]|1[0-2])(?:\D|$)"
+MN = r"(?i)\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?[ _-]+(?:\d{1,2}[ ,_-]+)?(20\d{2})(?:\D|$)"
+YY = r"(?:^|\D)(20\d{2})(?:\D|$)"
+PATH_DATE = (
+    f"case when regexp_matches(file_path, '{Y8}') then [cast(regexp_extract(file_path, '{Y8}', 1) as int), cast(regexp_extract(file_path, '{Y8}', 2) as int)] "
+    f"when regexp_matches(file_path, '{YM}') then [cast(regexp_extract(file_path, '{YM}', 1) as int), cast(regexp_extract(file_path, '{YM}', 2) as int)] "
+    f"when regexp_matches(file_path, '{MN}') then [cast(regexp_extract(file_path, '{MN}', 2) as int), cast(list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower(regexp_extract(file_path, '{MN}', 1))) as int)] "
+    f"when regexp_matches(file_path, '{YY}') then [cast(regexp_extract(file_path, '{YY}', 1) as int), 0] else [0, 0] end"
+)
+
+
+@query("op096_path_dates", f"select distinct file_path, d[1] as year, d[2] as month from (select file_path, {PATH_DATE} as d from manifest)")
 def _(s, d):
     return table(s, d, "manifest").select("file_path", X.path_year_month(F.col("file_path")).alias("d")).distinct().select("file_path", "d.*")
 

@@ -377,7 +377,7 @@ def _(s, d):
     return sampling.clear_crops(r, "row_id", "frame_w", "frame_h", "faces", 50)
 
 
-@query("op207_split_by_source")
+@query("op207_split_by_source", "select row_id, cast('0x' || md5('42|' || video_path)[1:7] as bigint) < cast(floor(0.8 * 268435456) as bigint) as is_train from results")
 def _(s, d):
     return sampling.split_by_source(table(s, d, "results").select("row_id", "video_path"), "video_path").select("row_id", "is_train")
 

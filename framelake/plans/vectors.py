@@ -71,17 +71,20 @@ def _(s, d):
     return c.groupBy(F.least("s", F.lit(4)).alias("size")).agg(F.count("*").alias("groups"))
 
 
-@query("op222_dbscan", f"""with recursive p as {PAIRS.format(u=UNIT, t=0.3)}, y as (select a, b from p union all select b, a from p),
+DBSCAN = f"""with recursive p as {PAIRS.format(u=UNIT, t=0.3)}, y as (select a, b from p union all select b, a from p),
   core as (select a as c from y group by a having count(*) + 1 >= 5), l as (select a, b from y where a in (select c from core) and b in (select c from core)),
   r(n, m) as (select c, c from core union select l.b, r.m from r join l on l.a = r.n and r.m < l.b), k as (select n, dense_rank() over (order by min(m)) - 1 as cluster from r group by n),
   border as (select y.a as n, min(k.cluster) as cluster from y join k on k.n = y.b where y.a not in (select c from core) group by y.a)
-  select vec_id, coalesce(k.cluster, border.cluster, -1) as cluster from embeddings left join k on k.n = vec_id left join border on border.n = vec_id""")
+  select vec_id, coalesce(k.cluster, border.cluster, -1) as cluster from embeddings left join k on k.n = vec_id left join border on border.n = vec_id"""
+
+
+@query("op222_dbscan", DBSCAN)
 def _(s, d):
     e = table(s, d, "embeddings")
     return V.dbscan(e, pairs(s, d, 0.3), "vec_id", 5)
 
 
-@query("op223_drop_small_clusters")
+@query("op223_drop_small_clusters", f"select cluster, count(*) as size from ({DBSCAN}) where cluster >= 0 group by cluster having count(*) >= 5")
 def _(s, d):
     e = table(s, d, "embeddings")
     c = V.dbscan(e, pairs(s, d, 0.3), "vec_id", 5).filter("cluster >= 0")
@@ -116,7 +119,7 @@ def _(s, d):
     return g.select("label", F.array_join("ids", ",").alias("ids"))
 
 
-@query("op177_identity_confidence")
+@query("op177_identity_confidence", f"select vec_id, label, round(least(greatest(1 - d, 0), 1), 6) as confidence from (select u.vec_id, c.label, round(1 - list_inner_product(u.v, c.c) / sqrt(list_inner_product(c.c, c.c)), 12) as d, row_number() over (partition by u.vec_id order by round(1 - list_inner_product(u.v, c.c) / sqrt(list_inner_product(c.c, c.c)), 12), c.label) as n from {UNIT} u, {CENT} c) where n = 1")
 def _(s, d):
     from framelake.functions.scoring import identity_confidence
 
