@@ -22,18 +22,14 @@ def _top_in_unit(k: int, floor: float, dim: int):
             if len(at) < 2:
                 continue
             at = at[np.argsort(ids[at], kind="stable")]
-            x, keep = u32[at], min(k + 8, len(at) - 1)
+            x = u32[at]
             for s in range(0, len(at), 1024):
                 sim = x[s : s + 1024] @ x.T
                 own = np.arange(len(sim))
                 sim[own, own + s] = -2.0
-                if keep < len(at) - 1:
-                    kth = -np.partition(-sim, keep - 1, axis=1)[:, keep - 1]
-                    # everything that rounding could lift to the k-th place or tie with it
-                    bar = -np.partition(-sim, min(k, keep) - 1, axis=1)[:, min(k, keep) - 1] - 1e-5
-                    bar = np.maximum(np.minimum(bar, np.maximum(kth, bar)), floor - 1e-5)
-                else:
-                    bar = np.full(len(sim), floor - 1e-5)
+                # everything that rounding could lift to the k-th place or tie with it
+                kth = np.partition(sim, len(at) - k, axis=1)[:, len(at) - k] if len(at) > k else np.full(len(sim), -1.0)
+                bar = np.maximum(kth - 1e-5, floor - 1e-5)
                 i, j = np.nonzero(sim >= bar[:, None])
                 if not len(i):
                     continue
