@@ -284,3 +284,69 @@ def test_files(spark, tmp_path):
     names = spark.createDataFrame([(1, "/x/a.jpg"), (2, "/y/a.jpg"), (3, "/z/b")], "i int, p string")
     assert {r.i: r.export_name for r in files.unique_names(names, "p", [F.col("i")]).collect()} == {1: "a.jpg", 2: "a_2.jpg", 3: "b"}
     assert files.with_optional(names, "rep", "boolean", True).first().rep is True
+
+
+def test_image_source(spark, tmp_path):
+    """A grey ramp as BMP: rows are stored bottom up and padded to four bytes."""
+    w, h = 24, 16
+    row = b"".join(bytes((v, v, v)) for v in range(0, 10 * w, 10)) + bytes(-3 * w % 4)
+    body = row * h
+    head = struct.pack("<2sIHHI", b"BM", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, len(body), 0, 0, 0, 0)
+    (tmp_path / "ramp.bmp").write_bytes(head + body)
+    r = media.measure_images(spark.read.format("image").load(str(tmp_path))).first()
+    # inside a ramp the Laplacian is nought, mirrored borders are not
+    assert r.code == -1 and r.sharpness > 0 and r.origin.endswith("ramp.bmp")
+
+
+def test_probe_survives_broken_files(spark):
+    df = spark.createDataFrame([(1, bytearray(b"ok")), (2, bytearray(b"")), (3, None)], "i int, content binary")
+    got = {r.i: r.size for r in media.probe(df, "content", lambda c: {"size": 1 // (len(c) > 1)}, "size double").collect()}
+    assert got[1] == 1.0 and all(got[k] is None or got[k] != got[k] for k in (2, 3))
+
+
+def test_crop_and_roll(spark):
+    r = one(spark, c=media.crop_box(*[F.lit(v) for v in (10, 30, 90, 95, 100, 100)]), tilt=media.roll(*[F.lit(v) for v in (0.0, 0.0, 10.0, 10.0)], F.lit(True)), flat=media.roll(*[F.lit(v) for v in (0.0, 0.0, 100.0, 1.0)], F.lit(True)), odd=media.roll(*[F.lit(v) for v in (0.0, 0.0, 10.0, 10.0)], F.lit(False)))
+    assert tuple(r.c) == (0, 10, 100, 100) and r.tilt == pytest.approx(45) and r.flat == 0 and r.odd == 0
+
+
+def test_precedence_and_claims(spark):
+    left = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, None, None)], "i int, p string, q string")
+    right = spark.createDataFrame([("a", "z", 10), ("c", "x", 20), ("d", "x", 19)], "rp string, rq string, v int")
+    got = {r.i: r.v for r in joins.resolve_by_precedence(left, right, [("p", "rp"), ("q", "rq")], "v", [F.col("v")]).collect()}
+    assert got == {1: 10, 2: 19, 3: None}
+    claims = spark.createDataFrame([(1, "n"), (2, "n"), (3, "m")], "i int, name string")
+    assert {r.i for r in joins.first_claim(claims, "name", [F.col("i")]).collect()} == {1, 3}
+
+
+def test_hit_box(spark):
+    pts = spark.createDataFrame([("f", 5, 5), ("f", 50, 50), ("f", 99, 99)], "k string, x int, y int")
+    bx = spark.createDataFrame([("f", 2, False, 0, 0, 60, 60), ("f", 1, True, 0, 0, 10, 10)], "k string, box_id int, accepted boolean, x1 int, y1 int, x2 int, y2 int")
+    assert {(r.x, r.box_id) for r in joins.hit_box(pts, bx, "k", "x", "y", F.lit(True)).collect()} == {(5, 1), (50, 2)}
+    assert {(r.x, r.box_id) for r in joins.hit_box(pts, bx, "k", "x", "y", F.lit(False)).collect()} == {(5, 1)}
+
+
+def test_groups_and_representatives(spark):
+    rows = spark.createDataFrame([(1, 0.5, 9), (2, 0.9, 1), (3, None, 5), (4, None, 7), (5, 0.1, 1)], "i long, q double, size int")
+    pairs = spark.createDataFrame([(1, 2), (3, 4)], "a long, b long")
+    g = similarity.similarity_groups(rows, pairs, "i")
+    assert {r.i: (r.group_id, r.size) for r in g.collect()} == {1: (1, 2), 2: (1, 2), 3: (2, 2), 4: (2, 2), 5: (None, None)}
+    rep = similarity.representatives(rows.withColumnRenamed("size", "bytes"), g.drop("size"), "i", "q", "bytes")
+    assert {r.i for r in rep.filter("is_representative").collect()} == {2, 4, 5}
+
+
+def test_resolve_identities(spark):
+    unit = lambda k: [1.0 if i == k else 0.0 for i in range(4)]
+    index = spark.createDataFrame([("ann", "Ann", unit(0), 3)], "name string, display_name string, centroid array<double>, member_count long")
+    new = spark.createDataFrame([(0, [0.9, 0.1, 0.0, 0.0], 8), (1, unit(2), 5)], "cluster int, centroid array<double>, member_count long")
+    got = {r.name: (r.display_name, r.member_count) for r in similarity.resolve_identities(index, new).collect()}
+    assert got == {"ann": ("Ann", 8), "personA": ("personA", 5)}
+    assert similarity.assign(new, index.limit(0), "cluster", "name", 0.5).count() == 0
+
+
+def test_empty_tables(spark):
+    e = spark.createDataFrame([], "i long, g string, s double, t double, h long, v array<double>, hash string, file_path string")
+    assert selection.top_k(e, ["g"], [F.col("i")], 3).count() == 0 and selection.global_rank(e, ["i"], "k").count() == 0
+    assert dedup.greedy_hamming(e, "i", "h", "s").count() == 0 and dedup.canonical(e, "hash", "file_path").count() == 0
+    assert similarity.similar_pairs(e, "i", "v", 0.5).count() == 0 and similarity.centroids(e, "g", "v").count() == 0
+    assert metrics.coverage(e, ["g"]).first().share is None and metrics.pearson(e, "s", "t", ["g"]).count() == 0
+    assert sampling.weighted_draws(e, "i", "s", 5).count() == 0 and sampling.sample_n(e, "i", 5).count() == 0
