@@ -45,19 +45,34 @@ def centroids(df: DataFrame, group: str, vec: str) -> DataFrame:
     return packed.select(group, normalized(F.col("c")).alias("centroid"), "member_count")
 
 
-def nearest(df: DataFrame, cents: DataFrame, id_col: str, vec: str, group: str, max_centroids: int = 100_000) -> DataFrame:
+def nearest(df: DataFrame, cents: DataFrame, id_col: str, vec: str, group: str, max_centroids: int = 10_000) -> DataFrame:
     """(id, group, distance): the nearest centroid by 1 - cosine, of equals the smallest group.
 
-    Centroids are a dimension table; they are counted, and beyond ``max_centroids`` rows the call
-    is refused rather than broadcast.
+    Centroids are a dimension table; beyond ``max_centroids`` rows the call is refused rather than
+    broadcast. Rows are multiplied with all of them a batch at a time. Null vectors and vectors of
+    another length are left out; a zero vector is at distance 1 from all.
     """
-    n = cents.count()
-    if n > max_centroids:
-        raise ValueError(f"{n} centroids; the limit is {max_centroids}")
-    packed = cents.agg(F.collect_list(F.struct(F.col(group).alias("g"), normalized(F.col("centroid")).alias("c"))).alias("_all"))
-    j = df.filter(F.col(vec).isNotNull()).select(id_col, normalized(F.col(vec)).alias("_v")).join(F.broadcast(packed), how="inner")
-    best = F.array_min(F.transform("_all", lambda c: F.struct(F.round(1 - dot(F.col("_v"), c["c"]), 12).alias("d"), c["g"].alias("g"))))
-    return j.select(id_col, best.alias("b")).select(id_col, F.col("b.g").alias(group), F.col("b.d").alias("distance"))
+    got = cents.select(group, normalized(F.col("centroid")).alias("c")).orderBy(group).limit(max_centroids + 1).toPandas()
+    if len(got) > max_centroids:
+        raise ValueError(f"more than {max_centroids} centroids")
+    spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
+    names = spark.createDataFrame([(k, g.item() if hasattr(g, "item") else g) for k, g in enumerate(got[group])], f"_at int, {group} {cents.schema[group].dataType.simpleString()}")
+    table = spark.sparkContext.broadcast(np.stack(got["c"].to_list()) if len(got) else np.zeros((0, 0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = table.value
+        for b in batches:
+            if not b.num_rows or not len(c):
+                continue
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            d = np.round(1.0 - (x / np.where(n > 0, n, 1.0)) @ c.T, 12)
+            at = d.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at.astype(np.int32)), pa.array(d[np.arange(len(at)), at])], names=[id_col, "_at", "distance"])
+
+    width = table.value.shape[1]
+    ok = df.filter(F.col(vec).isNotNull() & (F.size(vec) == width)).select(id_col, vec)
+    return ok.mapInArrow(run, f"{id_col} {kind}, _at int, distance double").join(F.broadcast(names), "_at").select(id_col, group, "distance")
 
 
 def _pairs_in_blocks(floor: float, inclusive: bool):

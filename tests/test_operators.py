@@ -350,3 +350,13 @@ def test_empty_tables(spark):
     assert similarity.similar_pairs(e, "i", "v", 0.5).count() == 0 and similarity.centroids(e, "g", "v").count() == 0
     assert metrics.coverage(e, ["g"]).first().share is None and metrics.pearson(e, "s", "t", ["g"]).count() == 0
     assert sampling.weighted_draws(e, "i", "s", 5).count() == 0 and sampling.sample_n(e, "i", 5).count() == 0
+
+
+def test_nearest(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0])], "i long, v array<double>")
+    c = spark.createDataFrame([("b", [0.0, 2.0]), ("a", [3.0, 0.0])], "g string, centroid array<double>")
+    got = {r.i: (r.g, r.distance) for r in similarity.nearest(df, c, "i", "v", "g").collect()}
+    assert got == {1: ("a", 0.0), 2: ("a", pytest.approx(1 - 0.5**0.5)), 3: ("a", 1.0)}
+    assert similarity.nearest(df, c.limit(0), "i", "v", "g").count() == 0
+    with pytest.raises(ValueError):
+        similarity.nearest(df, c, "i", "v", "g", max_centroids=1)
