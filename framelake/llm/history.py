@@ -87,7 +87,7 @@ class HistoryIndex:
     usable vector match nothing and are accepted. Ids must be unique.
     """
 
-    def __init__(self, spark: SparkSession, threshold: float = 0.95, max_bits: int = 120, overlap: int = 5, buckets: int = 24, salt_rows: int = 20_000, params: IndexParams = PARAMS):
+    def __init__(self, spark: SparkSession, threshold: float = 0.95, max_bits: int = 120, overlap: int = 3, buckets: int = 24, salt_rows: int = 20_000, params: IndexParams = PARAMS):
         self.spark, self.threshold, self.max_bits, self.overlap = spark, threshold, max_bits, overlap
         self.buckets, self.salt_rows, self.p = buckets, salt_rows, params
         self.name = f"framelake_postings_{uuid.uuid4().hex[:12]}"
