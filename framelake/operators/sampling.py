@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,16 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), key).limit(n)
 
 
-def uniform_targets(df: DataFrame, duration: str, fps: float) -> DataFrame:
-    """``target_index`` and ``target_s`` of max(1, int(duration * fps)) moments; unread durations have none."""
-    n = F.greatest(F.lit(1), F.floor(F.col(duration) * fps).cast("int"))
-    t = df.filter(F.col(duration).isNotNull() & ~F.isnan(duration)).withColumn("target_index", F.explode(F.sequence(F.lit(0), n - 1)))
+def uniform_targets(df: DataFrame, duration: str, fps: float, block: int = 4096) -> DataFrame:
+    """``target_index`` and ``target_s`` of max(1, int(duration * fps)) moments; unread and infinite durations have none.
+
+    Files are cut into blocks of moments that are spread over tasks, so one very long file is not one task.
+    """
+    d = F.col(duration)
+    n = F.greatest(F.lit(1), F.floor(d * fps).cast("long"))
+    t = df.filter(F.abs(d) < float("inf")).withColumn("_n", n).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(block).cast("long"))))
+    t = t.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_from", duration)
+    t = t.withColumn("target_index", F.explode(F.sequence("_from", F.least(F.col("_from") + block, "_n") - 1))).drop("_n", "_from")
     return t.withColumn("target_s", F.col("target_index") / fps)
 
 
@@ -37,9 +44,9 @@ def windowed_targets(df: DataFrame, key: str, windows: str, fps: float) -> DataF
 
 def sample_windows(duration: float | None, seed: int, count: int, spacing: int) -> list[int]:
     """Starts of windows, in a seeded order taken if at least ``spacing`` from all taken; sorted."""
-    if duration is None or not duration >= 2:
+    if duration is None or not 2 <= duration < float("inf"):
         return []
-    starts = list(range(int(duration) - 1))
+    starts = array("q", range(int(duration) - 1))  # 8 bytes a second, for files of months
     random.Random(seed).shuffle(starts)
     taken: list[int] = []
     for s in starts:

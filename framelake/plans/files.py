@@ -201,7 +201,7 @@ def _(s, d):
 def _(s, d):
     from framelake.operators.sampling import with_sample_windows
 
-    m = selection.first_per_key(table(s, d, "manifest").filter("file_type = 'video' and hash rlike '^[0-9a-f]{8}' and duration_s < 100000"), ["file_path"], [F.col("scanned_at")])
+    m = selection.first_per_key(table(s, d, "manifest").filter("file_type = 'video' and hash rlike '^[0-9a-f]{8}' and duration_s < double('infinity')"), ["file_path"], [F.col("scanned_at")])
     return with_sample_windows(m, "hash", "duration_s").select("file_path", "windows")
 
 
@@ -209,7 +209,7 @@ def _(s, d):
 def _(s, d):
     from framelake.operators.sampling import uniform_targets
 
-    m = selection.first_per_key(table(s, d, "manifest").filter("duration_s < 100000 and not isnan(duration_s)"), ["file_path"], [F.col("scanned_at")])
+    m = selection.first_per_key(table(s, d, "manifest").filter("duration_s < double('infinity')"), ["file_path"], [F.col("scanned_at")])
     return uniform_targets(m, "duration_s", 0.5).select("file_path", F.col("target_index").cast("long").alias("target_index"), "target_s")
 
 

@@ -360,3 +360,25 @@ def test_nearest(spark):
     assert similarity.nearest(df, c.limit(0), "i", "v", "g").count() == 0
     with pytest.raises(ValueError):
         similarity.nearest(df, c, "i", "v", "g", max_centroids=1)
+
+
+def test_targets_and_windows_of_very_long_files(spark, data):
+    from framelake.plans import catalogue
+
+    manifest = spark.read.parquet(f"{data}/manifest.parquet").filter("duration_s >= 100000")
+    long = {r.file_path: int(r.duration_s * 0.5) for r in manifest.collect()}
+    assert long
+    got = catalogue.queries()["op201_uniform_targets"](spark, data)
+    n = {r.file_path: (r.n, r.u, r.hi) for r in got.groupBy("file_path").agg(F.count("*").alias("n"), F.count_distinct("target_index").alias("u"), F.max("target_s").alias("hi")).collect()}
+    assert {p: n[p] for p in long} == {p: (k, k, (k - 1) / 0.5) for p, k in long.items()}
+    parts = got.filter(F.col("file_path").isin(*long)).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(parts) > 1
+    w = {r.file_path: r.windows for r in catalogue.queries()["op200_sample_windows"](spark, data).collect()}
+    assert all(len(w[p]) == 20 for p in long)
+
+
+def test_targets_at_block_edges(spark):
+    df = spark.createDataFrame([(i, d) for i, d in enumerate([None, float("nan"), float("inf"), float("-inf"), -3.0, 0.0, 3.9, 4.0, 4.1, 9.0])], "i int, d double")
+    got = sorted((r.i, r.target_index) for r in sampling.uniform_targets(df, "d", 1.0, block=4).collect())
+    assert got == [(i, k) for i, n in ((4, 1), (5, 1), (6, 3), (7, 4), (8, 4), (9, 9)) for k in range(n)]
+    assert sampling.sample_windows(float("inf"), 1, 5, 5) == []
