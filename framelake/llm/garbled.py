@@ -1,7 +1,8 @@
 """Garbled text from a wrong character encoding (problem 8).
 
 1. Every pair of adjacent characters with one beyond ASCII is counted over all documents, apart
-   in runs that would decode as UTF-8 under an inverse mapping and outside of them.
+   in runs that would decode as UTF-8, or as Japanese or Cyrillic words, under an inverse mapping
+   and outside of them. Counts are taken relative to the size of the corpus.
 2. Pairs are scored by their pointwise mutual information outside such runs; what the pair falls
    short of ``floor`` counts for a run, pairs of plain text against it. The maximum-scoring
    segments are the improbable runs of a text.
@@ -79,6 +80,42 @@ def invertible_spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _BEYOND.finditer(text) if len(m[0]) > 1 and _readings(m[0])]
 
 
+_DAMAGED = re.compile(r"(?:[^\x00-\x7f][@-~]?){4,}")
+_JAPANESE = re.compile(r"[\u3000-\u30ff\u4e00-\u9fff\uff00-\uff9f@-~]+")
+_CYRILLIC = re.compile(r"[А-ЯЁ]?[а-яё]{3,}")
+
+
+@lru_cache(maxsize=1 << 14)
+def _misread(s: str) -> bool:
+    """Whether some inverse mapping turns western letters into Japanese with kana, or into a Cyrillic word."""
+    for wrong, right in SINGLE_BYTE:
+        if right in ("shift_jis", "euc_jp") or (right in ("cp1251", "koi8_r", "cp866", "iso8859_5") and wrong in ("cp1252", "latin-1", "cp1250", "mac_roman", "cp437", "cp850")):
+            raw = to_bytes(s, wrong)
+            try:
+                u = raw.decode(right) if raw else ""
+            except UnicodeDecodeError:
+                continue
+            if right in ("shift_jis", "euc_jp"):
+                if _JAPANESE.fullmatch(u) and sum("\u3041" <= c <= "\u30ff" for c in u) >= 2:
+                    return True
+            elif _CYRILLIC.fullmatch(u):
+                return True
+    return False
+
+
+def misread_spans(text: str) -> list[tuple[int, int]]:
+    """Runs that are words of another script under some inverse mapping; ASCII trail bytes are part of them."""
+    out = []
+    for m in _DAMAGED.finditer(text):
+        if _misread(m[0]):
+            out.append(m.span())
+        elif not m[0][-1] > "\x7f" and _misread(m[0][:-1]):
+            out.append((m.start(), m.end() - 1))
+        else:
+            out += [(m.start() + k.start(), m.start() + k.end()) for k in _BEYOND.finditer(m[0]) if len(k[0]) > 3 and _misread(k[0])]
+    return out
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
 
@@ -103,7 +140,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             use = (c[:-1] > 127) | (c[1:] > 127)
             free = np.ones(len(k), dtype=bool)
             if use.any():
-                for lo, hi in invertible_spans(text):
+                for lo, hi in [*invertible_spans(text), *misread_spans(text)]:
                     free[lo : hi + 1] = False
             # pairs inside ASCII are kept by their first character only
             keys.append(np.where(use, k, c[:-1] << 21))
@@ -121,12 +158,21 @@ def pair_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(_count, "pair long, n long, outside long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("outside").alias("outside"))
 
 
+REFERENCE = 5_000_000  # pairs; what "rare" means is fixed for a corpus of this size
+
+
 class PairModel:
-    """Pair statistics as sorted arrays; its size follows the alphabet, not the corpus."""
+    """Pair statistics as sorted arrays; its size follows the alphabet, not the corpus.
+
+    Counts of a larger corpus are brought to those of ``reference`` pairs, so what is rare is a
+    share of the corpus, and a corpus repeated gives the same model.
+    """
 
-    def __init__(self, pair: np.ndarray, n: np.ndarray, outside: np.ndarray):
+    def __init__(self, pair: np.ndarray, n: np.ndarray, outside: np.ndarray, reference: float = REFERENCE):
         o = np.argsort(pair)
         self.pair, self.n, self.outside = pair[o], n[o].astype(float), outside[o].astype(float)
+        scale = max(1.0, self.n.sum() / reference)
+        self.n, self.outside = self.n / scale, self.outside / scale
         self.total = max(1.0, self.n.sum())
         first, second = self.pair >> 21, self.pair & ((1 << 21) - 1)
         self.chars, inv = np.unique(np.concatenate([first, second]), return_inverse=True)
@@ -197,7 +243,12 @@ def improbable_runs(text: str, m: PairModel, floor: float = 1.0, rare: int = 3)
         lo, hi = max(0, lo - 1), min(len(text), hi + 1)
         while lo > 0 and ord(text[lo - 1]) > 127:
             lo -= 1
-        while hi < len(text) and ord(text[hi]) > 127:
+        # an ASCII character after one beyond ASCII may be the trail byte of a double-byte reading
+        while lo > 1 and "@" <= text[lo - 1] <= "~" and ord(text[lo - 2]) > 127:
+            lo -= 2
+            while lo > 0 and ord(text[lo - 1]) > 127:
+                lo -= 1
+        while hi < len(text) and (ord(text[hi]) > 127 or (hi > lo and ord(text[hi - 1]) > 127 and "@" <= text[hi] <= "~")):
             hi += 1
         if out and lo <= out[-1][1]:
             out[-1] = (out[-1][0], max(hi, out[-1][1]))
@@ -280,7 +331,7 @@ def _restored(bc):
     return run
 
 
-def find_garbled(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def find_garbled(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", reference: float = REFERENCE) -> DataFrame:
     """(doc_id, restored): documents with a garbled passage, with the text as far as it can be restored.
 
     Null, empty and blank texts and texts in ASCII are never cases. Repeated rows come out as often
@@ -288,7 +339,7 @@ def find_garbled(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     broadcast: it has a row for every pair of characters met, at most the square of the alphabet.
     """
     t = pair_counts(docs, text_col).toArrow()
-    bc = docs.sparkSession.sparkContext.broadcast(PairModel(*[t[c].to_numpy() for c in ("pair", "n", "outside")]))
+    bc = docs.sparkSession.sparkContext.broadcast(PairModel(*[t[c].to_numpy() for c in ("pair", "n", "outside")], reference))
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(r"[^\x00-\x7f]"))
     got = src.select("doc_id", F.pandas_udf(_restored(bc), "garbled boolean, restored string")("text").alias("r"))
     return got.filter("r.garbled").select("doc_id", F.col("r.restored").alias("restored"))

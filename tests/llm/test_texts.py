@@ -208,3 +208,25 @@ def test_garbled(spark):
 def test_pairs_count_every_document(spark):
     df = spark.createDataFrame([("aé",), ("aé",), (None,), ("",)], "text string")
     assert {r.pair: r.n for r in garbled.pair_counts(df).collect()}[(ord("a") << 21) | ord("é")] == 2
+
+
+def test_garbled_in_a_corpus_repeated_ten_times(spark):
+    japanese = ["おばあさんが庭で手を振っている。", "弟が駅のホームで絵本を読んで笑っている。"]
+    bad = {1000: (japanese[0].encode("shift_jis").decode("latin-1"), japanese[0]), 1001: (japanese[1].encode("shift_jis").decode("latin-1"), japanese[1]), 1002: (damaged(CLEAN[3], "latin-1", "cp1251"), CLEAN[3]), 1003: (damaged(CLEAN[0], "latin-1"), CLEAN[0]), 1004: (damaged(CLEAN[3], "koi8_r", "cp1251"), CLEAN[3])}
+    clean = [*CLEAN, *japanese]
+    df = spark.createDataFrame([*((i, clean[i % len(clean)]) for i in range(900)), *((i, b) for i, (b, _) in bad.items())], "doc_id long, text string")
+    want = {i: w for i, (_, w) in bad.items()}
+    pairs = garbled.pair_counts(df).agg(F.sum("n")).first()[0]
+    for k in (1, 10):
+        many = df.crossJoin(spark.range(k).select(F.col("id").alias("copy"))).drop("copy")
+        got = garbled.find_garbled(many, reference=pairs).collect()
+        assert len(got) == k * len(want) and {r.doc_id: r.restored for r in got} == want
+        if k == 10:  # western letters that are words of another script do not vouch for themselves
+            free = {r.doc_id: r.restored for r in garbled.find_garbled(many).collect()}
+            assert free.items() >= {i: w for i, w in want.items() if i != 1004}.items()
+
+
+def test_misread_spans():
+    jp = "絵本を読んで笑っている。".encode("shift_jis").decode("latin-1")
+    assert garbled.misread_spans("ab " + jp + " c") == [(3, 3 + len(jp))]
+    assert all(garbled.misread_spans(t) == [] for t in [*CLEAN, "préféré naïveté", "UN ÑANDÚ", "Æøå ÆØÅ"])
