@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,31 @@ def greedy_spacing(df: DataFrame, group: list[str], ts: Column, tie: str, gap: f
     return df.join(kept, tie, "left_semi")
 
 
+def similarity_hash(text: str, n: int = 8) -> int:
+    """64 bits of all runs of n characters of a text; texts that share most runs share most bits."""
+    c = np.concatenate([np.zeros(n - 1, np.uint32), np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), np.zeros(n - 1, np.uint32)]).astype(np.uint64)
+    size, ones = len(c) - n + 1, np.zeros(64, np.int64)
+    for lo in range(0, size, 1 << 14):
+        hi = min(size, lo + (1 << 14))
+        h = np.zeros(hi - lo, np.uint64)
+        for k in range(n):
+            h = (h + c[lo + k : hi + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(27)
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > size).view(np.int64)[0])
+
+
+def similarity_code(text: Column) -> Column:
+    """``similarity_hash`` of a text column; null texts have none."""
+
+    def run(t: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else similarity_hash(x) for x in t], dtype="Int64")
+
+    return F.pandas_udf(run, "long")(text)
+
+
 def _bands(c: Column, radius: int) -> list[Column]:
     """radius + 1 bands of 64 bits, the last takes what is left."""
     n = radius + 1

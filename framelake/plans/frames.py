@@ -128,9 +128,9 @@ def _(s, d):
 
 
 def _hashed(s, d):
-    """A 64-bit code of 16 shingle-like parts of the text: equal parts give equal bits, so near texts have near codes."""
+    """A 64-bit similarity hash of the whole text, so near texts have near codes."""
     docs = table(s, d, "documents").filter("text is not null and length(text) > 0")
-    return docs.select("doc_id", "source", "n_chars", F.conv(F.concat(*[F.substring(F.md5(F.substring("text", 1 + 8 * k, 8)), 1, 1) for k in range(16)]), 16, -10).cast("long").alias("code"))
+    return docs.select("doc_id", "source", "n_chars", dedup.similarity_code(F.col("text")).alias("code"))
 
 
 @query("op066_hamming_greedy")

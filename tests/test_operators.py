@@ -382,3 +382,47 @@ def test_targets_at_block_edges(spark):
     got = sorted((r.i, r.target_index) for r in sampling.uniform_targets(df, "d", 1.0, block=4).collect())
     assert got == [(i, k) for i, n in ((4, 1), (5, 1), (6, 3), (7, 4), (8, 4), (9, 9)) for k in range(n)]
     assert sampling.sample_windows(float("inf"), 1, 5, 5) == []
+
+
+def whole_text_documents(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(400)]
+    say = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    texts = [say(40)[:140] + say(60) for _ in range(40)]
+    texts += [texts[0][:130] + say(80), texts[1][:130] + say(80), "x" + texts[2], texts[3][:200] + "y" + texts[3][200:], texts[4], "a", "ab", "é" * 9]
+    rows = [(i, "s" if i % 3 else "t", len(t), t) for i, t in enumerate(texts)]
+    rows += [(900, "s", 0, None), (901, "s", 0, "")]
+    spark.createDataFrame(rows, "doc_id long, source string, n_chars int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path), [r for r in rows if r[3]]
+
+
+def bits_apart(a, b):
+    return ((a ^ b) & (2**64 - 1)).bit_count()
+
+
+def test_hamming_dedup_reads_whole_texts(spark, tmp_path):
+    from framelake.plans import catalogue
+
+    d, rows = whole_text_documents(spark, tmp_path)
+    code = {r[0]: dedup.similarity_hash(r[3]) for r in rows}
+
+    def greedy(rows, code, radius, grouped):
+        kept = []
+        for r in sorted(rows, key=lambda r: (-r[2], r[0])):
+            if all(bits_apart(code[r[0]], code[k[0]]) > radius for k in kept if not grouped or k[1] == r[1]):
+                kept.append(r)
+        return kept
+
+    low = {i: c << 8 & (2**64 - 1) for i, c in code.items()}
+    want = {"op066_hamming_greedy": greedy(rows, code, 8, True), "op068_cross_file_dedup": greedy(rows, code, 8, False), "op067_two_stage_hamming": greedy(greedy(rows, code, 4, True), low, 4, True)}
+    for name, kept in want.items():
+        assert sorted(r.doc_id for r in catalogue.queries()[name](spark, d).collect()) == sorted(k[0] for k in kept)
+    across = {k[0] for k in want["op068_cross_file_dedup"]}
+    # a text that differs after 128 characters is another text; one inserted character makes a near copy
+    assert {0, 1, 40, 41} <= across and len(across & {2, 42}) == len(across & {3, 43}) == len(across & {4, 44}) == 1
+
+
+def test_similarity_hash_in_parts():
+    long = " ".join(map(str, range(9000)))
+    assert len(long) > 1 << 15 and bits_apart(dedup.similarity_hash(long), dedup.similarity_hash("q" + long)) <= 2
+    assert bits_apart(dedup.similarity_hash(long), dedup.similarity_hash(long[:20000] + long[:20000])) > 2
