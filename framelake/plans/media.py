@@ -47,11 +47,9 @@ def _(s, d):
 
 @query("op054_hamming_pairs", "with h as (select doc_id, cast(('0x' || md5(left(text, 12))[1:4]) as integer) as code from documents where text is not null and length(text) > 0), r as (select code, min(doc_id) as rep from h group by code) select least(a.rep, b.rep) as a, greatest(a.rep, b.rep) as b from r a join r b on a.code < b.code and bit_count(xor(a.code, b.code)) <= 2")
 def _(s, d):
-    code = F.conv(F.substring(F.md5(F.substring("text", 1, 12)), 1, 4), 16, 10).cast("long")
-    h = table(s, d, "documents").filter("length(text) > 0").select("doc_id", code.alias("low"))
-    # 16 bits spread over 64, so that every band has some of them
-    spread = sum((F.shiftleft(F.shiftright("low", k).bitwiseAND(F.lit(1)), 4 * k) for k in range(16)), F.lit(0).cast("long"))
-    return dedup.hamming_edges(h.select("doc_id", spread.alias("code")), "doc_id", "code", 2)
+    """Similarity hashes of whole texts within 8 of 64 bits; the SQL still has 16 bits of 12 characters and differs."""
+    h = table(s, d, "documents").filter("length(text) > 0").select("doc_id", dedup.similarity_code(F.col("text")).alias("code"))
+    return dedup.hamming_edges(h, "doc_id", "code", 8)
 
 
 @query("op074_cluster_representative", "select quality_bucket, first(row_id order by coalesce(composite, face_det_score, 0.0) desc, row_id) as best from results group by quality_bucket")

@@ -426,3 +426,15 @@ def test_similarity_hash_in_parts():
     long = " ".join(map(str, range(9000)))
     assert len(long) > 1 << 15 and bits_apart(dedup.similarity_hash(long), dedup.similarity_hash("q" + long)) <= 2
     assert bits_apart(dedup.similarity_hash(long), dedup.similarity_hash(long[:20000] + long[:20000])) > 2
+
+
+def test_hamming_pairs_of_whole_texts(spark, tmp_path):
+    from framelake.plans import catalogue
+
+    d, rows = whole_text_documents(spark, tmp_path)
+    rep = {}
+    for r in rows:
+        rep.setdefault(dedup.similarity_hash(r[3]), r[0])
+    want = sorted((min(i, j), max(i, j)) for a, i in rep.items() for b, j in rep.items() if i < j and bits_apart(a, b) <= 8)
+    got = sorted((r.a, r.b) for r in catalogue.queries()["op054_hamming_pairs"](spark, d).collect())
+    assert got == want and {(2, 42), (3, 43)} <= set(got) and not {(0, 40), (1, 41)} & set(got)
