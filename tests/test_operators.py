@@ -438,3 +438,16 @@ def test_hamming_pairs_of_whole_texts(spark, tmp_path):
     want = sorted((min(i, j), max(i, j)) for a, i in rep.items() for b, j in rep.items() if i < j and bits_apart(a, b) <= 8)
     got = sorted((r.a, r.b) for r in catalogue.queries()["op054_hamming_pairs"](spark, d).collect())
     assert got == want and {(2, 42), (3, 43)} <= set(got) and not {(0, 40), (1, 41)} & set(got)
+
+
+def test_text_stats_cover_all_captions(spark, tmp_path):
+    import re
+
+    from framelake.plans import catalogue
+
+    texts = ["two words", "Le garçon dévore une crêpe", "Бабушка кормит уток", "line\nbreak here", "", None, "弟が公園で", "a_1 – b"]
+    spark.createDataFrame([(t,) for t in texts], "caption_description string").write.parquet(f"{tmp_path}/results.parquet")
+    w = [len(re.findall(r"\w+", t)) for t in texts if t is not None]
+    got = catalogue.queries()["op126_text_stats"](spark, str(tmp_path)).first()
+    assert (got.n, got.low, got.high) == (len(w), min(w), max(w))
+    assert got["mean"] == pytest.approx(np.mean(w), abs=1e-6) and got.deviation == pytest.approx(np.std(w), abs=1e-6)
