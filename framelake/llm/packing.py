@@ -31,14 +31,18 @@ def best_fit(sizes: list[int], clusters: list[int], sources: list[int], capacity
     bits = {c: 1 << k for k, c in enumerate(c for c, n in bits.items() if n > 1 and c >= 0)}
     levels: list[list[int]] = [[] for _ in range(capacity + 1)]
     used, held, fill, seen = 0, [], [], []
-    stuck: dict[int, int] = {}  # bit of a cluster -> containers there were when all of them conflicted
+    stuck: dict[int, tuple[int, int]] = {}  # bit of a cluster -> containers there were, and the size from which all of them conflicted
     where = [0] * len(sizes)
     for k in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
         n, bit = sizes[k], bits.get(clusters[k], 0)
         rest = used >> n << n
         first = (rest & -rest).bit_length() - 1
         box, at = -1, first
-        if rest and not (bit and stuck.get(bit) == len(held)):
+        if bit and stuck.get(bit, (-1, 0))[0] == len(held):
+            # only containers with less room than the search that failed have not been seen
+            rest &= (1 << stuck[bit][1]) - 1
+            at = (rest & -rest).bit_length() - 1
+        if rest:
             while at >= 0 and box < 0:
                 for i in range(len(levels[at]) - 1, -1, -1):
                     if not held[levels[at][i]] & bit:
@@ -48,7 +52,7 @@ def best_fit(sizes: list[int], clusters: list[int], sources: list[int], capacity
                     rest &= rest - 1
                     at = (rest & -rest).bit_length() - 1
         if box < 0 and bit and first >= 0:
-            stuck[bit] = len(held)
+            stuck[bit] = (len(held), n)
             if not forbid:
                 at = first
                 box = levels[at].pop()

@@ -148,6 +148,12 @@ def test_best_fit_takes_the_tightest():
     assert where[2] != where[3]
 
 
+def test_best_fit_parts_copies_of_unequal_length():
+    # 34 meets only its copy; 5 then fits beside the copies (6 left), and where there is none (8 left)
+    where, fill, _ = packing.best_fit([92, 60, 34, 5], [-1, 7, 7, 7], [1] * 4, 100)
+    assert where == [0, 1, 1, 0] and fill == [97, 94]
+
+
 def test_pack(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice([0, 3, 30, 256, 257, 5000, None]), rng.choice(["a", "b", None]), rng.choice([None, 1, 2])) for i in range(300)]
