@@ -451,3 +451,14 @@ def test_text_stats_cover_all_captions(spark, tmp_path):
     got = catalogue.queries()["op126_text_stats"](spark, str(tmp_path)).first()
     assert (got.n, got.low, got.high) == (len(w), min(w), max(w))
     assert got["mean"] == pytest.approx(np.mean(w), abs=1e-6) and got.deviation == pytest.approx(np.std(w), abs=1e-6)
+
+
+def test_head_digest_cuts_long_texts(spark, tmp_path):
+    import hashlib
+
+    from framelake.plans import catalogue
+
+    texts = ["", "short", "a" * 65_535 + "é tail", "b" * 65_536, "c" * 65_536 + "d", "é" * 40_000, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.digest for r in catalogue.queries()["op092_head_digest"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.md5(t.encode()[:65_536]).hexdigest() for i, t in enumerate(texts) if t is not None}
