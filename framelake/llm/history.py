@@ -203,13 +203,21 @@ def repeats_by_batch(df: DataFrame, threshold: float = 0.95, batch_col: str = "b
     """(row_id): rows of later batches that repeat an accepted row; batch 0 is the history.
 
     Batches are delivered in ascending order, ``together`` waiting ones at a time, which changes
-    the number of steps and nothing else; rows of a null batch are not delivered. An empty table,
+    the number of steps and nothing else; rows of a null batch are not delivered. Without usable vectors
+    in batch 0 the index is fitted on the earliest batch that has them. An empty table,
     or one of batch 0 alone, gives no rows. Other columns are not read.
     """
     spark = df.sparkSession
     ix = index or HistoryIndex(spark, threshold)
     src = df.select("row_id", F.col(batch_col).alias("b"), "kept_path", "embedding").filter("b is not null")
     ix.fit(src.filter("b = 0"))
+    if not len(ix.pivots[0]):
+        # the sample gave no pivots: it is taken from the usable vectors of the earliest batch that has any
+        e, inf = F.col("embedding"), float("inf")
+        good = src.filter((F.col("b") >= 0) & (F.size(e) == ix.p.dim) & F.forall(e, lambda v: F.coalesce(F.abs(v) < inf, F.lit(False))) & F.exists(e, lambda v: v != 0))
+        earliest = good.agg(F.min("b")).first()[0]
+        if earliest is not None:
+            ix.fit(good.filter(F.col("b") == earliest))
     vec, paths = ix.represent(src, ["b"])
     vec, paths = materialize(vec, "vec", ["b"]), materialize(paths, "paths", ["b"])
     numbers = [r[0] for r in paths.select("b").distinct().orderBy("b").collect() if r[0] > 0]

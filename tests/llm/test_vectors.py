@@ -205,3 +205,13 @@ def test_hot_tokens_are_salted(spark):
     df = table(spark, [*x, *x[:10]], batch=[0] * 60 + [1] * 10)
     ix = HistoryIndex(spark, salt_rows=16)
     assert repeats_by_batch(df, index=ix).agg(F.count("*")).first()[0] == 10 and ix.salts
+
+
+def test_repeats_without_vectors_in_batch_0(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((6, 512)).astype(np.float32)
+    nan = np.full(512, np.nan, np.float32)
+    later = [(10, 2, v[0]), (11, 2, v[1]), (12, 3, v[0] * 2), (13, 4, v[2]), (14, 5, v[1]), (15, 5, v[3])]
+    for start in ([], [(1, 0, nan), (2, 0, np.zeros(512, np.float32)), (3, 1, nan)]):
+        df = spark.createDataFrame([(i, b, f"/p/{i}.jpg", x.tolist()) for i, b, x in [*start, *later]], "row_id long, batch_no int, kept_path string, embedding array<float>")
+        assert {r.row_id for r in repeats_by_batch(df).collect()} == {12, 14}
