@@ -57,7 +57,7 @@ def knn(df: DataFrame, k: int = 5, floor: float = 0.5, params: IndexParams | Non
     vector beyond its k + 1 smallest ids are answered without being compared.
     """
     p = params or IndexParams()
-    files, extra = build(df.select("row_id", "embedding"), p, copies=k + 1)
+    files, extra = build(df.select("row_id", "embedding"), p, floor, copies=k + 1)
     near = top_k(files, k, floor, p)
     if extra is None or floor >= 1:
         return near

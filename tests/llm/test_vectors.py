@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.llm import permutation, vectors
+from framelake.llm import clusters, history, permutation, vectors
 from framelake.llm.clusters import boruvka, cluster, linked_groups
 from framelake.llm.history import HistoryIndex, repeats_by_batch
 from framelake.llm.knn import knn, similar_pairs
@@ -62,10 +62,47 @@ def test_usable(spark):
 
 
 def test_footrule():
-    a, b = np.array([[1, 2, 3]]), np.array([[1, 2, 3]])
-    assert permutation.footrule(a, b)[0] == 0
-    assert permutation.footrule(a, np.array([[7, 8, 9]]))[0] == 3 * 4
-    assert 0 < permutation.footrule(a, np.array([[2, 1, 3]]))[0] < permutation.footrule(a, np.array([[3, 8, 9]]))[0]
+    rng = np.random.default_rng(1)
+    pv = permutation.fit(people(30, 4, loners=200), 256, permutation.IndexParams(), 0.5)
+    x = rng.standard_normal((6, 512)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = (x @ pv.code.T) - pv.centre
+    half = np.argsort(np.argsort(-s, axis=1), axis=1) < 256  # the half of the order in which a pivot is
+    want = [[int((a != b).sum()) for b in half] for a in half]
+    codes = pv.codes(x @ pv.code.T)
+    assert permutation.footrule(codes, codes).tolist() == want
+
+
+def pairs_of_two(n, pairs, cos, seed=5):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, 512)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(0, 2 * pairs, 2):
+        z = x[k + 1] - (x[k + 1] @ x[k]) * x[k]
+        x[k + 1] = cos * x[k] + np.sqrt(1 - cos * cos) * z / np.linalg.norm(z)
+    return x
+
+
+def test_pairs_of_two_are_found_and_others_rejected(spark):
+    x = pairs_of_two(4000, 600, 0.52)
+    got = {(r.row_id_1, r.row_id_2) for r in similar_pairs(table(spark, list(x))).collect()}
+    want = {(k, k + 1) for k in range(0, 1200, 2)}
+    assert len(got & want) >= 0.97 * len(want) and not got - want
+    # unrelated rows that share a pivot are rejected by the footrule
+    pv = permutation.fit(x[:1500], 1024, permutation.IndexParams(), 0.5)
+    assert pv.prefix < 60 and pv.max_footrule < 230
+    d = permutation.footrule(*[pv.codes(y @ pv.code.T) for y in (x[1200:2000], x[2000:])])
+    assert (d > pv.max_footrule).mean() > 0.9999
+
+
+def test_dense_vectors(spark):
+    rng = np.random.default_rng(3)
+    y = rng.standard_normal((1500, 24)) @ rng.standard_normal((24, 512))
+    y = 0.8 * y / np.linalg.norm(y, axis=1, keepdims=True) + 0.02
+    x = np.concatenate([(y / np.linalg.norm(y, axis=1, keepdims=True)).astype(np.float32), people(2, 3, loners=3)])
+    got = {(r.row_id_1, r.row_id_2) for r in similar_pairs(table(spark, list(x)), params=permutation.IndexParams(block_rows=256)).collect()}
+    want = nearest(x, list(range(len(x))), 5, 0.5)
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
 
 
 def nearest(x, ids, k, floor):
@@ -144,6 +181,27 @@ def test_clusters_have_stable_members(spark):
     assert cluster(table(spark, list(x)).limit(0)).count() == 0
 
 
+def test_large_trees_are_cut_on_the_ladder(spark):
+    x = people(4, 8, noise=0.45, seed=4, loners=3)
+    df = table(spark, list(x))
+    got, on_ladder = ({(r.cluster_id, r.size) for r in cluster(df, task_rows=n).collect()} for n in (1000, 1))
+    assert got == on_ladder == {(8 * i, 8) for i in range(4)}
+
+
+def test_condense():
+    # two dense groups of five on a chain, joined by a long edge, and one row that hangs on loosely
+    a = np.array([0, 1, 2, 3, 5, 6, 7, 8, 4, 9])
+    b = np.array([1, 2, 3, 4, 6, 7, 8, 9, 5, 10])
+    dist = np.array([0.1] * 4 + [0.1, 0.1, 0.1, 0.05] + [0.4, 0.45])
+    got = clusters.condense(11, a, b, dist, 0.5, 5)
+    assert [(round(d, 9), m.tolist()) for d, _, m, _ in got] == [(0.4, [0, 1, 2, 3, 4]), (0.4, [5, 6, 7, 8, 9])]
+    assert [round(s, 6) for _, s, _, _ in got] == [round(5 * (10 - 2.5), 6)] * 2
+    # without a split the whole tree is the cluster; copies are of finite density; too small a tree is none
+    (d, s, m, leave), = clusters.condense(6, np.arange(5), np.arange(1, 6), np.zeros(5), 0.5, 5)
+    assert (d, m.tolist(), s) == (0.5, list(range(6)), 6 * (100 - 2.0)) and (leave == 100).all()
+    assert clusters.condense(3, np.arange(2), np.arange(1, 3), np.zeros(2), 0.5, 5) == []
+
+
 @pytest.mark.parametrize("a,b", [("/a/B.jpg", "\\A\\b.JPG"), ("/a/x y.jpg", "file:///a/x%20y.jpg"), ("/a/ü.jpg", "/a/ü.jpg"), ("/a/k/b", "/a//./k/../k/b "), ("/a/b", "/a/b\n"), ("/a/ü", "/a/%C3%BC")])
 def test_same_file(a, b):
     assert same_file_key(a) == same_file_key(b)
@@ -166,8 +224,8 @@ def greedy(x, batch, paths):
     return cases
 
 
-@pytest.mark.parametrize("together", [1, 4])
-def test_history(spark, together):
+@pytest.mark.parametrize("growing", [False, True])
+def test_history(spark, growing):
     rng = np.random.default_rng(6)
     x, batch, paths = list(people(8, 6, seed=8)), [], []
     for i in range(60):  # near repeats, some in chains
@@ -179,8 +237,10 @@ def test_history(spark, together):
     batch = [0 if i < 40 else int(rng.integers(0, 4)) for i in range(n)]
     paths = [None if i % 7 == 0 else f"/s/{i if i % 5 else i // 10}.jpg" for i in range(n)]
     df = table(spark, x, batch=batch, paths=paths)
-    got = {r.row_id for r in repeats_by_batch(df, together=together).collect()}
+    ix = HistoryIndex(spark, bucket_rows=2) if growing else None
+    got = {r.row_id for r in repeats_by_batch(df, index=ix, least_rows=1 if growing else 20_000).collect()}
     assert got == greedy(np.array(x), batch, paths)
+    assert not growing or ix.generation > 0
 
 
 def test_history_edges(spark):
@@ -191,20 +251,52 @@ def test_history_edges(spark):
     assert {r.row_id for r in repeats_by_batch(df.filter("batch_no > 0")).collect()} == {4, 7}
 
 
-def test_postings_follow_what_is_accepted(spark):
+def test_index_goes_on_in_another_session(spark, tmp_path):
     x = people(4, 6, seed=10, loners=10)
-    df = table(spark, [*x, *x[:5]], batch=[0] * len(x) + [1] * 5)
+    n = len(x)
+    df = table(spark, [*x, *x[:5], *x[2:4], -x[0], -x[0]], batch=[0] * n + [1] * 5 + [2] * 4, paths=["/p/0.jpg"] + [None] * (n + 6) + ["/P/0.JPG", None])
+    ix = HistoryIndex(spark, path=f"file://{tmp_path}/index")
+    assert repeats_by_batch(df.filter("batch_no < 2"), index=ix).count() == 5
+    assert not spark.catalog.tableExists(ix.name)
+    assert spark.read.parquet(f"{ix.path}/postings-0").select("vkey").distinct().count() == n
+    again = HistoryIndex.open(spark.newSession(), ix.path)
+    assert (again.threshold, again.buckets, again.counts) == (ix.threshold, ix.buckets, {k: v for k, v in again.counts.items() if v <= ix.counts[k]})
+    assert {r.row_id for r in repeats_by_batch(df.filter("batch_no = 2"), index=again).collect()} == {n + 5, n + 6, n + 7}
+    # a delivery of batch 0 to an index with a history is a delivery like any other
+    assert repeats_by_batch(df.filter("batch_no = 0"), index=HistoryIndex.open(spark, ix.path)).count() == n
+
+
+def test_a_small_delivery_reads_few_parts(spark):
+    x = people(0, 0, seed=3, loners=400)
     ix = HistoryIndex(spark)
-    assert repeats_by_batch(df, index=ix).count() == 5
-    assert spark.table(ix.name).select("vkey").distinct().count() == len(x)
-    assert ix.rare[1] < ix.p.prefix
+    df = table(spark, [*x, x[7]], batch=[0] * 400 + [1])
+    assert [r.row_id for r in repeats_by_batch(df, index=ix).collect()] == [400]
+    ix = HistoryIndex.open(spark, ix.path)
+    vec, _ = ix.represent(df.filter("batch_no = 1").withColumn("b", F.lit(1)), ["b"])
+    few = ix.lookup(vec.select(F.col("vkey").alias("key")), True)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in few and "part#" in few.split("PartitionFilters: [")[1].split("]")[0]
+    assert len(ix.weigh(vec)) <= 16 and ix.candidates(vec, [1, 2])._jdf.queryExecution().executedPlan().toString().count("SelectedBucketsCount: 2 out of 24") == 1
+    ix.close()
+
+def test_overlap_is_verified():
+    def rows(keys, tops, token, home):
+        t = {"vkey": pa.array(keys, pa.int64()), "token": pa.array([token << 20] * len(keys), pa.int64()), "sketch": pa.array([b"\0" * 64] * len(keys), pa.binary()), "top": pa.array(tops, pa.list_(pa.int16()))}
+        return pa.table(t | ({"home": pa.array([True] * len(keys))} if home else {}))
+
+    import pyarrow as pa
+
+    run = history._near_keys(10, 3, 4)
+    for token, want in ((history.PIVOT_BASE + 1, {(1, 11)}), (5, {(1, 11), (1, 12), (1, 13)})):
+        got = run(rows([1], [[1, 2, 3, 4]], token, True), rows([11, 12, 13], [[4, 3, 2, 9], [1, 2, 8, 9], [1, 2]], token, False))
+        assert set(zip(got["key"].to_pylist(), got["other"].to_pylist())) == want
 
 
 def test_hot_tokens_are_salted(spark):
     x = people(1, 60, noise=0.3, seed=11, loners=0)
     df = table(spark, [*x, *x[:10]], batch=[0] * 60 + [1] * 10)
     ix = HistoryIndex(spark, salt_rows=16)
-    assert repeats_by_batch(df, index=ix).agg(F.count("*")).first()[0] == 10 and ix.salts
+    assert repeats_by_batch(df, index=ix).agg(F.count("*")).first()[0] == 10
+    assert spark.read.parquet(f"{ix.path}/postings-0").select("token").distinct().count() > 1
 
 
 def test_repeats_without_vectors_in_batch_0(spark):
