@@ -38,7 +38,7 @@ from framelake.llm.permutation import IndexParams, Pivots, fit_pivots, footrule,
 from framelake.llm.vectors import exact_cos, unit, unpack
 from framelake.session import materialize, scratch_path
 
-PARAMS = IndexParams(prefix=12, near=0.5, reach=0.3, slack=12)
+PARAMS = IndexParams(prefix=12, near=0.5, reach=0.3, slack=6)
 PATH_SALT, VEC_SALT, PIVOT_BASE = 101, 102, 1 << 20
 POSTINGS = "token bigint, vkey bigint, sketch binary, top array<smallint>, bucket int"
 

@@ -14,13 +14,8 @@ def plain(path: str) -> str:
     """Without outer blanks, URL scheme and percent escapes; composed letters; forward slashes."""
     s = path.strip()
     s = _URL.sub("", s)
-    for _ in range(3):  # escaped more than once
-        if not _ESCAPE.search(s):
-            break
-        t = unquote(s, errors="strict") if _decodes(s) else s
-        if t == s:
-            break
-        s = t
+    while _ESCAPE.search(s) and _decodes(s):  # escaped more than once; each step shortens it
+        s = unquote(s, errors="strict")
     return unicodedata.normalize("NFC", s).replace("\\", "/").strip()
 
 

@@ -76,5 +76,31 @@ def queries() -> dict[str, Query]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit()}
 
 
+_USABLE = """
+u0 as (select row_id, cast(embedding as double[]) as v from results where len(embedding) = 512 {where}),
+u1 as (select row_id, v from u0 where len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+u as (select row_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from u1)"""
+
+_P3 = (
+    "with"
+    + _USABLE.format(where="")
+    + """,
+s as (select a.row_id as r, b.row_id as o, round(list_dot_product(a.v, b.v), 12) as c from u a join u b on a.row_id <> b.row_id),
+t as (select r, o from s where c > 0.5 qualify row_number() over (partition by r order by c desc, o) <= 5)
+select distinct least(r, o) as row_id_1, greatest(r, o) as row_id_2 from t"""
+)
+
+_P4 = (
+    "with recursive"
+    + _USABLE.format(where="and face_count >= 1")
+    + """,
+e as (select a.row_id as a, b.row_id as b from u a join u b on a.row_id <> b.row_id where round(list_dot_product(a.v, b.v), 12) > 0.5),
+n as (select distinct a from e),
+reach(a, b) as (select a, a from n union select r.a, e.b from reach r join e on e.a = r.b),
+lab as (select a as row_id, min(b) as cluster_id from reach group by a)
+select row_id, cluster_id from lab where cluster_id in (select cluster_id from lab group by cluster_id having count(*) >= 5)"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": _P3, "p4_found": _P4}

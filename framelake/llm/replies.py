@@ -34,7 +34,10 @@ LANGUAGES = ("en", "de", "fr", "es", "pt", "pl", "ru", "ja")
 _REFUSAL = re.compile(
     r"\b(?:i|we)\b[^.!?]{0,40}?\b(?:can ?not|can['’]t|could not|couldn['’]t|may not|will not|won['’]t|am not able|am unable|are unable|must decline|have to decline|decline to|refuse to|prefer not|(?:would|['’]d) rather not|(?:don['’]t|do not) (?:have the ability|feel comfortable)|have to pass)\b"
     r"|\bno way for me to\b|\bnot possible for me to\b|\bmy (?:policies|policy|guidelines|apologies;)|\bagainst my\b|\bthis assistant\b|\bthis request can|\bnot something (?:i|we)\b|\bno (?:description|caption) can be given\b|\bas an? (?:ai|language) model\b"
-    r"|\bunable to (?:assist|help|comply|answer)\b|(?:^|[:\[\n])\s*(?:cannot|can not|can['’]t|unable|not able|not allowed|declined?|refused?|withheld|prefer not|no comment)\b",
+    r"|\bunable to (?:assist|help|comply|answer)\b"
+    # in a field, where whoever is in the picture may be unable too: only of answering, or of nothing that is named
+    r"|(?:^|[:\[\n])\s*(?:(?:cannot|can not|can['’]t|unable to|not able to|not allowed to|declined? to|refused? to|prefer not to)\s+(?:say|tell|describe|identify|name|answer|respond|reply|assist|help|comply|provide|give|caption|comment|summari[sz]e|speculate|determine|recogni[sz]e|share|discuss|disclose|process|view|be (?:said|told|described|identified|named|answered|given|provided|determined|shared))\b"
+    r"|(?:cannot|can not|can['’]t|unable|not able|not allowed|declined?|refused?|withheld|prefer not|no comment)\s*(?:[.,;!\]\n]|$))",
     re.I,
 )
 _QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"\n]*\"")
@@ -195,6 +198,9 @@ def fit_languages(docs: DataFrame, max_rows: int = 20_000) -> LanguageModel:
     return LanguageModel(*(counts[c].to_numpy() for c in ("lang", "code", "n")))
 
 
+MOST_WORDINGS = 10_000  # they go to every task
+
+
 # -- the operator -------------------------------------------------------------------------------
 JUDGED = "table_name string, rec_id long, field string, defect string, probes array<struct<k2:string,k1:string>>"
 
@@ -203,9 +209,11 @@ def _judge(bc, margin: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm, prompts = bc.value
         echo = Echo([w for _, w, _ in prompts])
-        # a prompt expects the language that is named for it, else the one it is written in
+        # a wording expects the language that is named for it, else the one it is written in; a field those of all its wordings
         own = [LANGUAGES[i] for i in lm.posteriors([w for _, w, _ in prompts]).argmax(axis=1)]
-        want = {f: e or o for (f, _, e), o in zip(prompts, own)}
+        want: dict[str, set[int]] = {}
+        for (f, _, e), o in zip(prompts, own):
+            want.setdefault(f, set()).add(LANGUAGES.index(e or o))
         for b in batches:
             if not b.num_rows:
                 continue
@@ -215,14 +223,14 @@ def _judge(bc, margin: float):
             probes: list[list[dict]] = []
             for k, (f, t) in enumerate(zip(fields, texts)):
                 d, p = None, []
-                exp = want.get(f, "en")
+                exp = sorted(want.get(f, {LANGUAGES.index("en")}))
                 if is_empty(t):
                     d = "empty"
                 elif echo(t):
                     d = "echo"
                 elif is_refusal(t):
                     d = "refusal"
-                elif exp in LANGUAGES and post[k].max() - post[k, LANGUAGES.index(exp)] > margin:
+                elif post[k].max() - post[k, exp].max() > margin:
                     d = "language"
                 elif open_quotation(t):
                     d = "truncated"
@@ -265,9 +273,15 @@ def defects(replies: DataFrame, prompts: DataFrame, docs: DataFrame, margin: flo
 
     Null replies are empty. Replies of an unknown field are held to be English. Repeated rows come
     out once each; empty tables give no rows. ``min_end`` is the share of an ending's occurrences
-    that must close a statement; ``enough`` the occurrences from which two words are trusted.
+    that must close a statement; ``enough`` the occurrences from which two words are trusted. A reply
+    may be in any language that a wording of its field expects. More than ``MOST_WORDINGS``
+    wordings, and expected languages that are not among ``LANGUAGES``, are refused.
     """
-    wordings = [(r["field_name"], r["prompt_text"] or "", (r["expected_lang"] or "").lower()[:2]) for r in prompts.select("field_name", "prompt_text", "expected_lang").limit(1000).collect()]
+    wordings = [(r["field_name"], r["prompt_text"] or "", (r["expected_lang"] or "").strip().lower()[:2]) for r in prompts.select("field_name", "prompt_text", "expected_lang").distinct().limit(MOST_WORDINGS + 1).collect()]
+    if len(wordings) > MOST_WORDINGS:
+        raise ValueError(f"more than {MOST_WORDINGS} prompt wordings")
+    if unknown := {e for _, _, e in wordings} - {"", *LANGUAGES}:
+        raise ValueError(f"replies cannot be judged in {sorted(unknown)}")
     bc = replies.sparkSession.sparkContext.broadcast((fit_languages(docs, max_rows), wordings))
     cols = ("table_name", F.col("rec_id").cast("long").alias("rec_id"), "field", "text")
     judged = replies.select(*cols).mapInArrow(_judge(bc, margin), JUDGED)

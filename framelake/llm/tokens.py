@@ -107,7 +107,7 @@ def _encode_parts(vocabulary: str):
     return run
 
 
-def _join_parts(vocabulary: str, id_type: pa.DataType):
+def _join_parts(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, _ = encoder(vocabulary)
         for b in batches:
@@ -122,25 +122,26 @@ def _join_parts(vocabulary: str, id_type: pa.DataType):
                     done += join_tree(enc, [p["ids"] for p in parts[i:j]])
                     i = j
                 ids.append(done)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(id_type), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return run
 
 
-def encode(df: DataFrame, vocabulary: str | None = None, leaf: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, vocabulary: str | None = None, leaf: int = 4096, id_col: str = "doc_id", text_col: str = "text", id_type: str = "bigint") -> DataFrame:
     """(doc_id, ids): one row for every row of ``df``, repeated ids included.
 
     Null and empty texts give an empty list; blank texts are encoded as they are; names of special
     tokens are ordinary text. Texts are encoded whole, whatever their length. An empty table gives
-    no rows; other columns are not read.
+    no rows; other columns are not read. ``id_type`` is the type of the ids, which may be a struct of
+    what else a text is known by.
     """
     voc = vocabulary or default_vocabulary()
-    src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    src = df.select(F.col(id_col).cast(id_type).alias("doc_id"), F.col(text_col).alias("text"))
     long = F.coalesce(F.length("text"), F.lit(0)) > leaf
-    short = src.filter(~long).mapInArrow(_encode_short(voc), "doc_id long, ids array<int>")
+    short = src.filter(~long).mapInArrow(_encode_short(voc), f"doc_id {id_type}, ids array<int>")
     rows = src.filter(long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    parts = rows.mapInArrow(_cut(voc, leaf), "row long, doc_id long, part int, leaf int, data binary")
-    done = parts.repartition(F.col("row"), F.col("part"), F.col("leaf")).mapInArrow(_encode_parts(voc), "row long, doc_id long, part int, leaf int, ids array<int>")
+    parts = rows.mapInArrow(_cut(voc, leaf), f"row long, doc_id {id_type}, part int, leaf int, data binary")
+    done = parts.repartition(F.col("row"), F.col("part"), F.col("leaf")).mapInArrow(_encode_parts(voc), f"row long, doc_id {id_type}, part int, leaf int, ids array<int>")
     whole = done.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "leaf", "ids"))).alias("parts"))
-    joined = whole.select("doc_id", "parts").mapInArrow(_join_parts(voc, pa.int64()), "doc_id long, ids array<int>")
+    joined = whole.select("doc_id", "parts").mapInArrow(_join_parts(voc), f"doc_id {id_type}, ids array<int>")
     return short.unionByName(joined)

@@ -23,12 +23,12 @@ def test_not_empty(t):
     assert not replies.is_empty(t)
 
 
-@pytest.mark.parametrize("t", ["I'm sorry, but I cannot comment on this.", "This request cannot be fulfilled.", "setting: we regret that we can’t say\nactivity: it is not possible for me", "As a language model, I pass", "setting: unable to assist\nactivity: unable to assist"])
+@pytest.mark.parametrize("t", ["I'm sorry, but I cannot comment on this.", "This request cannot be fulfilled.", "setting: we regret that we can’t say\nactivity: it is not possible for me", "As a language model, I pass", "setting: unable to assist\nactivity: unable to assist", "setting: cannot say\nactivity: unable to describe people", "setting: [declined]\nactivity: [withheld]"])
 def test_refusal(t):
     assert replies.is_refusal(t)
 
 
-@pytest.mark.parametrize("t", ["They can't stop giggling.", "A sticker says “I can't see, sorry”.", "She seems unable to resist.", "I'm told the photo was taken without permission of the cat."])
+@pytest.mark.parametrize("t", ["They can't stop giggling.", "A sticker says “I can't see, sorry”.", "She seems unable to resist.", "setting: patio\nactivity: cannot reach the shelf", "setting: attic\nactivity: [unable to resist the icing]", "I'm told the photo was taken without permission of the cat."])
 def test_no_refusal(t):
     assert not replies.is_refusal(t)
 
@@ -89,10 +89,22 @@ def test_overlaps(spark):
     got = [(r.label_id_1, r.label_id_2) for r in splits.overlap_pairs(df).collect()]
     assert set(got) == want and len(got) == len(want)
     rep = splits.overlap_report(df)
-    assert rep.filter("split = 'evaluation'").agg(F.sum("pairs")).first()[0] == len(want)
+    assert {r[0] for r in rep.groupBy("split").agg(F.sum("exact_pairs")).select("sum(exact_pairs)").collect()} == {len(want)}
+    assert rep.filter("split = 'evaluation'").agg(F.sum("exact_rows")).first()[0] == len({p for p in {a for a, _ in want} | {b for _, b in want} if (rows[p][2] if p < 900 else p == 902)})
     assert splits.overlap_pairs(df.limit(0)).count() == 0
 
 
+def test_altered_stems_are_near_twins(spark):
+    stem = "christmas_morning_at_the_old_farmhouse_{}_kitchen_window_of_grandmother"
+    rows = [(1, f"/x/0123456789ab_{stem.format('tape')}_7.5.jpg", True, "A"), (2, f"/x/0123456789ab_{stem.format('type')}_7.6.jpg", False, "B"), (3, f"/x/0123456789ab_{stem.format('tape')}_7.4.jpg", None, "C"), (4, f"/x/0123456789ab_{stem.format('type')}_9.jpg", False, "B"), (5, "/x/0123456789ab_an_altogether_different_clip_7.5.jpg", False, "B")]
+    df = spark.createDataFrame(rows, "label_id long, face_crop_path string, is_val boolean, corpus string")
+    got = {(r.val_id, r.train_id, r.exact) for r in splits.overlaps(df, radius=15, similarity=0.8).collect()}
+    assert got == {(1, 2, False), (1, 3, True)}
+    rep = {(r.split, r.corpus): (r.exact_rows, r.near_rows, r.exact_pairs, r.near_pairs) for r in splits.overlap_report(df, radius=15).collect()}
+    assert rep == {("evaluation", "A"): (1, 1, 1, 1), ("training", "B"): (0, 1, 0, 1), ("training", "C"): (1, 0, 1, 0)}
+    assert splits.overlaps(df).count() == 1 and splits.overlap_report(df.limit(0)).count() == 0
+
+
 # -- problem 6 --------------------------------------------------------------------------------
 def test_tree_is_exact():
     enc, _ = tokens.encoder(tokens.default_vocabulary())
@@ -125,7 +137,7 @@ def test_best_fit(forbid):
     rng = random.Random(4)
     sizes = [rng.randrange(1, 101) for _ in range(400)]
     cl = [rng.choice([-1, 1, 2, 3, 3, 3]) if rng.random() < 0.3 else -1 for _ in sizes]
-    where, fill, seen = packing.best_fit(sizes, cl, [1 << rng.randrange(3) for _ in sizes], 100, forbid)
+    where, clash, fill, seen = packing.best_fit(sizes, cl, [1 << rng.randrange(3) for _ in sizes], 100, forbid)
     assert sum(fill) == sum(sizes) and max(fill) <= 100 and all(seen)
     got = Counter()
     for b, n in zip(where, sizes):
@@ -133,24 +145,28 @@ def test_best_fit(forbid):
     assert [got[b] for b in range(len(fill))] == fill
     pairs = [(b, c) for b, c in zip(where, cl) if c >= 0]
     if forbid:
-        assert len(pairs) == len(set(pairs))
+        assert len(pairs) == len(set(pairs)) and not any(clash)
     else:
+        assert sum(clash) == len(pairs) - len(set(pairs))
         assert len(fill) <= -(-sum(sizes) // 100) * 1.03 + 1
         loose = packing.best_fit(sizes, [-1] * len(sizes), [1] * len(sizes), 100)
-        assert len(fill) <= len(loose[1]) + 1
+        assert len(fill) <= len(loose[2]) + 1
 
 
 def test_best_fit_takes_the_tightest():
-    where, fill, _ = packing.best_fit([60, 55, 40, 45], [-1] * 4, [1] * 4, 100)
+    where, _, fill, _ = packing.best_fit([60, 55, 40, 45], [-1] * 4, [1] * 4, 100)
     assert fill == [100, 100] and where == [0, 1, 0, 1]
     # two copies part where another container has room
-    where, _, _ = packing.best_fit([50, 50, 10, 10], [-1, -1, 7, 7], [1] * 4, 60)
+    where, _, _, _ = packing.best_fit([50, 50, 10, 10], [-1, -1, 7, 7], [1] * 4, 60)
     assert where[2] != where[3]
+    # of equally tight containers, the one without the source
+    where, _, _, seen = packing.best_fit([50, 50, 10], [-1] * 3, [1, 2, 2], 60)
+    assert where[2] == 0 and seen == [3, 2]
 
 
 def test_best_fit_parts_copies_of_unequal_length():
     # 34 meets only its copy; 5 then fits beside the copies (6 left), and where there is none (8 left)
-    where, fill, _ = packing.best_fit([92, 60, 34, 5], [-1, 7, 7, 7], [1] * 4, 100)
+    where, _, fill, _ = packing.best_fit([92, 60, 34, 5], [-1, 7, 7, 7], [1] * 4, 100)
     assert where == [0, 1, 1, 0] and fill == [97, 94]
 
 
@@ -170,6 +186,11 @@ def test_pack(spark):
         cut = {r[0] for r in rows if (r[1] or 0) > cap}
         assert set(g[g.part_no > 0].doc_id) <= cut
     assert set(got.window_name) == {"short", "long"}
+    again = packing.pack(df.repartition(7, "source"), win, shard_items=100).toPandas()
+    key = ["window_name", "doc_id", "part_no", "n_tokens", "container_id"]
+    assert sorted(map(tuple, got[key].fillna("").to_numpy())) == sorted(map(tuple, again[key].fillna("").to_numpy()))
+    with pytest.raises(ValueError):
+        packing.pack(df, spark.range(1, 1100).selectExpr("'w' || id as window_name", "int(id) as capacity_tokens"))
     assert packing.pack(df.limit(0), win).count() == 0 and packing.pack(df, win.limit(0)).count() == 0
 
 
@@ -185,6 +206,16 @@ def test_containers_fill(spark, data):
     assert got["short"] > 0.97 and len(got) == 3
 
 
+def test_texts_of_one_id_are_packed_once_each(spark):
+    docs = spark.createDataFrame([(1, "a short text", "a"), (1, "another one, a little longer", "b"), (1, "a short text", "a"), (2, None, None)], "doc_id long, text string, source string")
+    win = spark.createDataFrame([("w", 64)], "window_name string, capacity_tokens int")
+    got = packing.containers(docs, win).toPandas()
+    assert len(got) == 4 and sorted(got.n_tokens) == [0, 3, 3, 6] and got.conflict.sum() == 1
+    assert packing.fill_report(packing.containers(docs, win)).first().conflicts == 1
+    r = packing.fill_report(packing.containers(docs, win, conflicts="forbid")).first()
+    assert (r["containers"], r["conflicts"]) == (2, 0)
+
+
 # -- problem 8 --------------------------------------------------------------------------------
 CLEAN = ["Le garçon dévore une crêpe près de la fenêtre.", "El niño mira el océano en la estación.", "Die Großmutter pflückt reife Äpfel über dem Weg.", "Бабушка кормит уток на пляже после обеда.", "The café’s sign – “naïve” – cost £5 ± ½.", "弟が公園で凧を揚げている。", "UNA NIÑA SOÑOLIENTA MIRA EL OCÉANO."]
 
