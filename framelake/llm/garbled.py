@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake.session import materialize
+
 # Encodings by which text is mistaken, as Python names them.
 READ_AS_UTF8_BYTES = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp852", "cp866", "koi8_r", "iso8859_2", "iso8859_15", "cp1254", "cp1253")
 SINGLE_BYTE = (("cp1252", "cp1251"), ("latin-1", "cp1251"), ("cp1252", "koi8_r"), ("latin-1", "koi8_r"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("mac_roman", "cp1251"), ("cp1250", "cp1251"), ("cp437", "cp866"), ("cp437", "cp1251"), ("cp850", "cp1251"), ("cp1252", "cp866"), ("cp1252", "iso8859_5"), ("mac_cyrillic", "cp1251"), ("cp1251", "mac_cyrillic"), ("cp1252", "shift_jis"), ("latin-1", "shift_jis"), ("cp1252", "euc_jp"), ("latin-1", "euc_jp"), ("mac_roman", "shift_jis"), ("cp437", "shift_jis"), ("cp1252", "cp1250"), ("latin-1", "iso8859_2"), ("cp1250", "cp1252"), ("iso8859_2", "latin-1"), ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("cp1252", "cp437"), ("cp850", "cp1252"), ("cp1252", "cp850"))
@@ -158,6 +160,8 @@ def pair_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(_count, "pair long, n long, outside long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("outside").alias("outside"))
 
 
+MEMO = 50_000  # texts of which a task remembers the likelihood or the reading
+MOST_PAIRS = 8_000_000  # in the model that every task gets, 24 bytes each
 REFERENCE = 5_000_000  # pairs; what "rare" means is fixed for a corpus of this size
 
 
@@ -181,6 +185,8 @@ class PairModel:
         # an ASCII character is as often second as it is first, but for pairs inside ASCII it is not kept
         ascii_ = self.chars < 128
         self.c_second[ascii_] = np.maximum(self.c_second, self.c_first)[ascii_]
+        self.memo: dict[str, float] = {}
+        self.runs: dict[tuple[str, str, str], tuple[str, float]] = {}
 
     def _find(self, table: np.ndarray, key: np.ndarray, value: np.ndarray) -> np.ndarray:
         if not len(table):
@@ -188,20 +194,25 @@ class PairModel:
         at = np.minimum(np.searchsorted(table, key), len(table) - 1)
         return np.where(table[at] == key, value[at], 0.0)
 
-    def information(self, codes: np.ndarray) -> np.ndarray:
-        """Pointwise mutual information of neighbours, outside of invertible runs; 0 inside ASCII."""
+    def information(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pairs beyond ASCII: position, pointwise mutual information and count outside of invertible runs."""
         a, b = codes[:-1], codes[1:]
+        at = np.flatnonzero((a > 127) | (b > 127))
+        a, b = a[at], b[at]
         n = self._find(self.pair, a << 21 | b, self.outside)
         ca, cb = self._find(self.chars, a, self.c_first), self._find(self.chars, b, self.c_second)
-        pmi = np.log((n + 0.05) * self.total / ((ca + 1.0) * (cb + 1.0)))
-        return np.where((a > 127) | (b > 127), pmi, np.inf)
-
-    def seen(self, codes: np.ndarray) -> np.ndarray:
-        """How often each pair was seen outside of invertible runs."""
-        return self._find(self.pair, codes[:-1] << 21 | codes[1:], self.outside)
+        return at, np.log((n + 0.05) * self.total / ((ca + 1.0) * (cb + 1.0))), n
 
     def likelihood(self, text: str) -> float:
         """Log likelihood of the pairs with a character beyond ASCII, given the first character."""
+        got = self.memo.get(text)
+        if got is None:  # the same words come again and again
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            got = self.memo[text] = self._likelihood(text)
+        return got
+
+    def _likelihood(self, text: str) -> float:
         c = _codes(text)
         a, b = c[:-1], c[1:]
         use = (a > 127) | (b > 127)
@@ -234,10 +245,10 @@ def segments(gain: np.ndarray) -> list[tuple[int, int]]:
 def improbable_runs(text: str, m: PairModel, floor: float = 1.0, rare: int = 3) -> list[tuple[int, int]]:
     """Spans of text whose neighbours seldom meet elsewhere."""
     c = np.concatenate([[10], _codes(text), [10]])
-    pmi = m.information(c)
-    beyond = np.isfinite(pmi)
+    at, pmi, n = m.information(c)
+    short = np.full(len(c) - 1, -0.5)
     # a pair falls short of the floor, or is too rare for its information to be trusted
-    short = np.where(beyond, np.where(m.seen(c) <= rare, np.maximum(floor - pmi, 1.0), floor - pmi), -0.5)
+    short[at] = np.where(n <= rare, np.maximum(floor - pmi, 1.0), floor - pmi)
     out: list[tuple[int, int]] = []
     for lo, hi in segments(np.clip(short, -3.0, 3.0)):
         lo, hi = max(0, lo - 1), min(len(text), hi + 1)
@@ -299,8 +310,16 @@ def restore(text: str, m: PairModel, gain: float = 2.0, gain_bytes: float = 30.0
 
 
 def _restore_bytes(text: str, lo: int, hi: int, m: PairModel, gain: float) -> tuple[str, float]:
-    run = text[lo:hi]
-    left, right = text[lo - 1 : lo] or "\n", text[hi : hi + 1] or "\n"
+    key = (text[lo - 1 : lo] or "\n", text[lo:hi], text[hi : hi + 1] or "\n")
+    got = m.runs.get(key)
+    if got is None:
+        if len(m.runs) >= MEMO:
+            m.runs.clear()
+        got = m.runs[key] = _best_bytes(*key, m, gain)
+    return got
+
+
+def _best_bytes(left: str, run: str, right: str, m: PairModel, gain: float) -> tuple[str, float]:
     base = m.likelihood(left + run + right)
     best, won = run, 0.0
     if -base < gain:  # no reading is likelier than certain
@@ -336,9 +355,16 @@ def find_garbled(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
     Null, empty and blank texts and texts in ASCII are never cases. Repeated rows come out as often
     as they go in; an empty table gives no rows; other columns are not read. The pair table is
-    broadcast: it has a row for every pair of characters met, at most the square of the alphabet.
+    broadcast: it has a row for every pair of characters that is not negligibly rare, and more than
+    ``MOST_PAIRS`` are refused.
     """
-    t = pair_counts(docs, text_col).toArrow()
+    counts = materialize(pair_counts(docs, text_col), "pairs")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # a pair of less than a hundredth of an occurrence in the reference corpus is one that was not seen
+    counts = counts.filter(F.col("n") * F.lit(100.0 * reference) >= F.lit(float(total)))
+    if counts.count() > MOST_PAIRS:
+        raise ValueError(f"more than {MOST_PAIRS} pairs of characters")
+    t = counts.toArrow()
     bc = docs.sparkSession.sparkContext.broadcast(PairModel(*[t[c].to_numpy() for c in ("pair", "n", "outside")], reference))
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(r"[^\x00-\x7f]"))
     got = src.select("doc_id", F.pandas_udf(_restored(bc), "garbled boolean, restored string")("text").alias("r"))
