@@ -65,7 +65,7 @@ def best_slot_area(scores: Column, areas: Column) -> Column:
 
 
 def quality_score(scores: Column, areas: Column, aesthetics: Column, zero_face_cap: float = ZERO_FACE_CAP) -> Column:
-    aes = F.coalesce(aesthetics, F.lit(0.0))
+    aes = clamp(F.coalesce(aesthetics, F.lit(0.0)))
     with_face = QUALITY_FACE_WEIGHT * face_quality(scores) + QUALITY_AESTHETICS_WEIGHT * aes + QUALITY_AREA_WEIGHT * F.coalesce(best_slot_area(scores, areas), F.lit(0.0))
     return clamp(F.coalesce(with_face, aes * zero_face_cap))
 
@@ -95,7 +95,7 @@ def rejection(x1: Column, y1: Column, x2: Column, y2: Column, w: Column, h: Colu
     area = (x2 - x1).cast("double") * (y2 - y1) / (w.cast("double") * h)
     cx, cy = (x1 + x2) / 2.0, (y1 + y2) / 2.0
     at_edge = (cx < EDGE_BAND * w) | (cx > (1 - EDGE_BAND) * w) | (cy < EDGE_BAND * h) | (cy > (1 - EDGE_BAND) * h)
-    return F.when(area < TOO_SMALL, F.format_string("too_small(%.4f<0.004)", area)).when((area < SMALL_AT_EDGE) & at_edge, F.format_string("small_and_edge(%.4f<0.025)", area))
+    return F.when(area < TOO_SMALL, F.format_string("too_small(%.4f<0.004)", area)).when((area < SMALL_AT_EDGE) & at_edge, F.format_string("small_and_edge(%.4f)", area))
 
 
 def rejection_kind(reason: Column) -> Column:
@@ -103,7 +103,7 @@ def rejection_kind(reason: Column) -> Column:
     return F.when(F.instr(reason, "(") > 1, F.substring_index(reason, "(", 1)).otherwise(reason)
 
 
-def keypoint_anomalies(eye_y: Column, nose_y: Column, mouth_y: Column, eye_nose: Column, eye_mouth: Column, y_span: Column, box_h: Column, order_name: str = "vertical_order") -> Column:
+def keypoint_anomalies(eye_y: Column, nose_y: Column, mouth_y: Column, eye_nose: Column, eye_mouth: Column, y_span: Column, box_h: Column, order_name: str = "order") -> Column:
     """Names of the geometric rules a face breaks; a rule without finite numbers is skipped."""
     ratio = F.try_divide(eye_nose, eye_mouth)
     span = F.try_divide(y_span, box_h)

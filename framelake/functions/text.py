@@ -6,11 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Known extensions, month names, orientation codes.
-VIDEO_EXTENSIONS = (".mp4", ".mov", ".avi", ".mkv", ".m4v", ".mts", ".m2ts", ".3gp", ".wmv", ".mpg", ".mpeg", ".webm")
-IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".heic", ".heif", ".tif", ".tiff", ".bmp", ".webp")
+VIDEO_EXTENSIONS = (".mp4", ".mov", ".avi", ".mkv", ".m4v")
+IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".heic", ".heif", ".tiff", ".tif", ".bmp", ".webp")
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 MONTHS_SHORT = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 EXIF_DEGREES = {1: 0, 3: 180, 6: 90, 8: 270}
+# Blanks as text files have them, and line ends, in syntax that Java and RE2 share.
+BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+LINE_END = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+# Names of months with what may follow the first three letters; September has a third form.
+MONTH_NAMES = "|".join(["Sept", *(f"{m[:3]}(?:{m[3:]})?" for m in MONTHS)])
 
 
 def basename(path: Column) -> Column:
@@ -54,16 +59,15 @@ def json_numbers(c: Column) -> Column:
 def path_year_month(path: Column) -> Column:
     """(year, month) that a path states, by the first pattern that fits; (0, 0) if none does.
 
-    Patterns in order: YYYYMMDD; YYYY and MM with an optional separator; a month's name, a day if
-    any, a year; a bare year of this century, whose month is 0.
+    Patterns in order: YYYYMMDD; YYYY and MM with an optional separator; a month's name that no
+    letter touches, a day if any, a year; a bare year of this century, whose month is 0.
     """
-    names = "|".join(MONTHS_SHORT)
     y8 = r"(?<!\d)(20\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?!\d)"
-    ym = r"(?<!\d)(20\d{2})[-_./]?(0[1-9]|1[0-2])(?!\d)"
-    mn = rf"(?i)\b({names})[a-z]*\.?[ _-]+(?:\d{{1,2}}[ ,_-]+)?(20\d{{2}})(?!\d)"
+    ym = r"(20\d{2})[-_./]?(0[1-9]|1[0-2])(?!\d)"
+    mn = rf"(?i)(?<![a-z])({MONTH_NAMES})(?![a-z])(?:[\s_.-]+[0-3]?\d)?[\s_.-]?(20\d{{2}})(?!\d)"
     yy = r"(?<!\d)(20\d{2})(?!\d)"
     num = lambda c: c.try_cast("int")
-    month = F.array_position(F.array(*[F.lit(m.lower()) for m in MONTHS_SHORT]), F.lower(F.regexp_extract(path, mn, 1))).cast("int")
+    month = F.array_position(F.array(*[F.lit(m.lower()) for m in MONTHS_SHORT]), F.lower(F.substring(F.regexp_extract(path, mn, 1), 1, 3))).cast("int")
     pair = lambda y, m: F.struct(y.alias("year"), m.alias("month"))
     found = lambda p: F.regexp_extract(path, p, 0) != ""
     return (
@@ -81,17 +85,30 @@ def exif_year_month(c: Column) -> Column:
 
 
 def iso_year_month(c: Column) -> Column:
-    """Year (from 2000) and month of an ISO date or time with or without zone, else of the first YYYY-MM in it."""
-    y, m = F.regexp_extract(c, r"(20\d{2})-(0[1-9]|1[0-2])", 1), F.regexp_extract(c, r"(20\d{2})-(0[1-9]|1[0-2])", 2)
-    return F.when(y != "", F.struct(y.try_cast("int").alias("year"), m.try_cast("int").alias("month")))
+    """Year (from 2000) and month of a text that begins with an ISO date, with separators or without, else null."""
+    pat = rf"^{BLANK}*(\d{{4}})(?:-(0[1-9]|1[0-2])-\d{{2}}|(0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(?:\D|$))"
+    y, m = F.regexp_extract(c, pat, 1).try_cast("int"), F.concat(F.regexp_extract(c, pat, 2), F.regexp_extract(c, pat, 3))
+    return F.when(y >= 2000, F.struct(y.alias("year"), m.try_cast("int").alias("month")))
 
 
-def source_date(exif: Column, metadata: Column, path: Column, mtime: Column) -> Column:
-    """(year, month, source) by the first of the sources that knows it."""
-    tag = lambda s, n: F.when(s.isNotNull() & (s["year"] > 0), F.struct(s["year"].alias("year"), s["month"].alias("month"), F.lit(n).alias("source")))
-    mt = F.when(mtime.isNotNull(), F.struct(F.year(mtime).alias("year"), F.month(mtime).alias("month")))
-    none = F.struct(F.lit(0).alias("year"), F.lit(0).alias("month"), F.lit("unknown").alias("source"))
-    return F.coalesce(tag(exif_year_month(exif), "exif"), tag(iso_year_month(metadata), "video_metadata"), tag(path_year_month(path), "path"), tag(mt, "mtime"), none)
+def source_date(exif_primary: Column, exif_fallback: Column, metadata: Column, path: Column, mtime: Column) -> Column:
+    """(year, month, source) by the first of the sources that knows it.
+
+    Images are asked for the dates of their EXIF block, videos for that of their container; then
+    the path, then the time of the last change. Without any: 0, 0, unknown.
+    """
+    tag = lambda s, n: F.when(s.isNotNull(), F.struct(s["year"].alias("year"), s["month"].alias("month"), F.lit(n).alias("source")))
+    video = extension(path).isin(*VIDEO_EXTENSIONS)
+    still = ~F.coalesce(video, F.lit(False))
+    stated = path_year_month(path)
+    return F.coalesce(
+        F.when(still, tag(exif_year_month(exif_primary), "exif_primary")),
+        F.when(still, tag(exif_year_month(exif_fallback), "exif_fallback")),
+        F.when(video, tag(iso_year_month(metadata), "video_metadata")),
+        F.when(stated["year"] > 0, tag(stated, "path_regex")),
+        F.when(mtime.isNotNull(), F.struct(F.year(mtime).alias("year"), F.month(mtime).alias("month"), F.lit("mtime").alias("source"))),
+        F.struct(F.lit(0).alias("year"), F.lit(0).alias("month"), F.lit("unknown").alias("source")),
+    )
 
 
 def section_key(year: Column, month: Column) -> Column:
@@ -104,16 +121,13 @@ def section_label(year: Column, month: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    """With one decimal below ten units, whole units above."""
-    units = ("B", "KB", "MB", "GB", "TB")
-    out = None
-    for k, u in enumerate(units):
+    """With one decimal below ten units, whole units above; halves go to the even digit. GB are the largest unit."""
+    out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
+    for k, unit in enumerate(("KB", "MB", "GB"), 1):
         v = n / float(1024**k)
-        text = F.format_string(f"%d {u}", n) if k == 0 else F.when(v < 10, F.format_string(f"%.1f {u}", v)).otherwise(F.format_string(f"%.0f {u}", v))
-        last = k == len(units) - 1
-        cond = F.lit(True) if last else v < 1024
-        out = F.when(cond, text) if out is None else out.when(cond, text)
-    return out
+        shown = F.when(v < 10, F.format_string(f"%.1f {unit}", F.bround(v, 1))).otherwise(F.concat(F.bround(v, 0).cast("long").cast("string"), F.lit(f" {unit}")))
+        out = out.when(F.lit(True) if unit == "GB" else n < 1024 ** (k + 1), shown)
+    return F.when(n.isNotNull(), out)
 
 
 def mmss(seconds: Column) -> Column:
@@ -122,17 +136,29 @@ def mmss(seconds: Column) -> Column:
 
 
 def key_values(text: Column, keys: tuple[str, ...]) -> Column:
-    """Struct of the values of ``key: value`` lines, without bullets and brackets; the last that is not empty wins."""
-    lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n")
+    """Struct of the values of ``key: value`` lines, dashes and stars before the key left out; the last that is not empty wins.
+
+    Values lose blanks and square brackets at their ends, nothing else.
+    """
+    lines = F.split(F.coalesce(text, F.lit("")), LINE_END)
+    ends = lambda c, what: F.regexp_replace(c, f"^{what}+|{what}+$", "")
 
     def value(k: str) -> Column:
-        pat = rf"(?i)^[\s\-*•>]*{k}\s*:(.*)$"
-        hits = F.filter(F.transform(lines, lambda ln: F.regexp_replace(F.regexp_extract(ln, pat, 1), r"^[\s\[\]*]+|[\s\[\]*]+$", "")), lambda v: v != "")
+        pat = rf"(?i)^{BLANK}*[-* ]*{k}{BLANK}*:(.*)$"
+        hits = F.filter(F.transform(lines, lambda ln: ends(ends(ends(F.regexp_extract(ln, pat, 1), BLANK), r"[\[\]]"), BLANK)), lambda v: v != "")
         return F.when(F.size(hits) > 0, F.element_at(hits, -1)).alias(k)
 
     return F.struct(*[value(k) for k in keys])
 
 
+def last_value_sql(text: str, key: str) -> str:
+    """key_values() of one key as SQL for DuckDB."""
+    v = rf"regexp_extract(x, '(?i)^{BLANK}*[-* ]*{key}{BLANK}*:(.*)$', 1)"
+    for what in (BLANK, r"[\[\]]", BLANK):
+        v = f"regexp_replace({v}, '^{what}+|{what}+$', '', 'g')"
+    return f"list_extract(list_filter(list_transform(regexp_split_to_array(coalesce({text}, ''), '{LINE_END}'), lambda x: {v}), lambda x: x <> ''), -1)"
+
+
 def multiline_value(text: Column, key: str, keys: tuple[str, ...]) -> Column:
     """A value that runs on to the next line that starts with one of the keys."""
     stop = "|".join(keys)

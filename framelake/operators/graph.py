@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """(node, component): every node that has an edge, with the smallest node it is joined to.
 
     Null ends and self loops are ignored; an empty table gives an empty result; repeated
-    and reversed edges count once. Other columns of ``edges`` are not read.
+    and reversed edges count once. Other columns of ``edges`` are not read. The number of rounds
+    follows the logarithm of the longest path; an answer that is not final after ``max_rounds`` is refused.
     """
     cur = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     cur = materialize(cur, "cc")
@@ -45,4 +46,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             break
         seen = (stat["n"], stat["h"])
         cur = materialize(_small_star(_large_star(cur).distinct()).distinct(), "cc")
+    else:
+        raise RuntimeError(f"components are not final after {max_rounds} rounds")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

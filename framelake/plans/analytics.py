@@ -246,7 +246,7 @@ def _(s, d):
 
 
 
-@query("op178_key_values", r"select a.raw_id, list_extract(sv, -1) as setting, list_extract(av, -1) as activity from (select raw_id, " + ", ".join(rf"list_filter(list_transform(regexp_split_to_array(coalesce(prompt1_raw, ''), '\r\n|\r|\n'), lambda x: regexp_replace(regexp_extract(x, '(?i)^[\s\-*•>]*{k}\s*:(.*)$', 1), '^[\s\[\]*]+|[\s\[\]*]+$', '', 'g')), lambda x: x <> '') as {v}" for k, v in (("setting", "sv"), ("activity", "av"))) + " from raw_outputs_a) a")
+@query("op178_key_values", "select raw_id, " + ", ".join(f"{X.last_value_sql('prompt1_raw', k)} as {k}" for k in ("setting", "activity")) + " from raw_outputs_a")
 def _(s, d):
     r = table(s, d, "raw_outputs_a").select("raw_id", X.key_values(F.col("prompt1_raw"), ("setting", "activity")).alias("v"))
     return r.select("raw_id", "v.setting", "v.activity")
@@ -320,36 +320,60 @@ def _(s, d):
     return table(s, d, "results").select("row_id", X.natural_id(F.col("video_path"), F.col("row_id")).alias("id"), F.md5("video_path").alias("digest"))
 
 
-@query("op095_source_date")
-def _(s, d):
-    r = table(s, d, "results")
-    return r.select("row_id", X.source_date(F.lit(None).cast("string"), F.col("caption_timestamp"), F.col("video_path"), F.col("processed_at").cast("timestamp")).alias("s")).select("row_id", "s.*")
+_Y8 = r"(?:^|\D)(20\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?:\D|$)"
+_YM = r"(20\d{2})[-_./]?(0[1-9]|1[0-2])(?:\D|$)"
+_MN = rf"(?i)(?:^|[^a-z])({X.MONTH_NAMES})(?:[\s_.-]+[0-3]?\d)?[\s_.-]?(20\d{{2}})(?:\D|$)"
+_YY = r"(?:^|\D)(20\d{2})(?:\D|$)"
+_ISO = rf"^{X.BLANK}*(\d{{4}})(?:-(0[1-9]|1[0-2])-\d{{2}}|(0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(?:\D|$))"
+
+
+def _whole(column: str, pattern: str, *groups: int) -> str:
+    return "cast(nullif(" + " || ".join(f"regexp_extract({column}, '{pattern}', {g})" for g in groups) + ", '') as int)"
+
+
+def path_date_sql(c: str) -> str:
+    months = ", ".join(f"'{m.lower()}'" for m in X.MONTHS_SHORT)
+    return (
+        f"case when regexp_matches({c}, '{_Y8}') then [{_whole(c, _Y8, 1)}, {_whole(c, _Y8, 2)}] when regexp_matches({c}, '{_YM}') then [{_whole(c, _YM, 1)}, {_whole(c, _YM, 2)}] "
+        f"when regexp_matches({c}, '{_MN}') then [{_whole(c, _MN, 2)}, cast(list_position([{months}], lower(left(regexp_extract({c}, '{_MN}', 1), 3))) as int)] "
+        f"when regexp_matches({c}, '{_YY}') then [{_whole(c, _YY, 1)}, 0] else [0, 0] end"
+    )
 
 
-Y8 = r"(?:^|\D)(20\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?:\D|$)"
-YM = r"(?:^|\D)(20\d{2})[-_./]?(0[1-9]|1[0-2])(?:\D|$)"
-MN = r"(?i)\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?[ _-]+(?:\d{1,2}[ ,_-]+)?(20\d{2})(?:\D|$)"
-YY = r"(?:^|\D)(20\d{2})(?:\D|$)"
-PATH_DATE = (
-    f"case when regexp_matches(file_path, '{Y8}') then [cast(regexp_extract(file_path, '{Y8}', 1) as int), cast(regexp_extract(file_path, '{Y8}', 2) as int)] "
-    f"when regexp_matches(file_path, '{YM}') then [cast(regexp_extract(file_path, '{YM}', 1) as int), cast(regexp_extract(file_path, '{YM}', 2) as int)] "
-    f"when regexp_matches(file_path, '{MN}') then [cast(regexp_extract(file_path, '{MN}', 2) as int), cast(list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower(regexp_extract(file_path, '{MN}', 1))) as int)] "
-    f"when regexp_matches(file_path, '{YY}') then [cast(regexp_extract(file_path, '{YY}', 1) as int), 0] else [0, 0] end"
-)
+def iso_date_sql(c: str) -> str:
+    return f"case when {_whole(c, _ISO, 1)} >= 2000 then [{_whole(c, _ISO, 1)}, {_whole(c, _ISO, 2, 3)}] end"
 
 
-@query("op096_path_dates", f"select distinct file_path, d[1] as year, d[2] as month from (select file_path, {PATH_DATE} as d from manifest)")
+@query("op096_path_dates", f"select distinct file_path, d[1] as year, d[2] as month from (select file_path, {path_date_sql('file_path')} as d from manifest)")
 def _(s, d):
     return table(s, d, "manifest").select("file_path", X.path_year_month(F.col("file_path")).alias("d")).distinct().select("file_path", "d.*")
 
 
+# every second row is asked as a still, which has its EXIF date in the first tag, in the second or in none
+_STILL = "row_id % 2 = 0"
+
+
+@query("op095_source_date", f"""select row_id, cast(d[1] as int) as year, cast(d[2] as int) as month, source from (select row_id,
+  case when {_STILL} and row_id % 3 = 0 then [year(processed_at), month(processed_at)] when {_STILL} and row_id % 3 = 1 then [year(processed_at), month(processed_at)]
+       when not ({_STILL}) and iso is not null then iso when p[1] > 0 then p else [year(processed_at), month(processed_at)] end as d,
+  case when {_STILL} and row_id % 3 = 0 then 'exif_primary' when {_STILL} and row_id % 3 = 1 then 'exif_fallback'
+       when not ({_STILL}) and iso is not null then 'video_metadata' when p[1] > 0 then 'path_regex' else 'mtime' end as source
+  from (select row_id, processed_at, {iso_date_sql('caption_timestamp')} as iso, {path_date_sql('path')} as p from (select *, case when {_STILL} then coalesce(kept_path, 'x') || '.jpg' else 'clip.mkv' end as path from results)))""")
+def _(s, d):
+    even, kind = F.col("row_id") % 2 == 0, F.col("row_id") % 3
+    exif = F.date_format("processed_at", "yyyy:MM:dd HH:mm:ss")
+    path = F.when(even, F.concat(F.coalesce("kept_path", F.lit("x")), F.lit(".jpg"))).otherwise("clip.mkv")
+    date = X.source_date(F.when(kind == 0, exif), F.when(kind == 1, F.concat(exif, F.lit("\0"))).otherwise("0000:00:00 00:00:00"), F.col("caption_timestamp"), path, F.col("processed_at").cast("timestamp"))
+    return table(s, d, "results").select("row_id", date.alias("s")).select("row_id", "s.*")
+
+
 @query("op097_exif_dates", "select o_orderkey, year(o_orderdate) as year, month(o_orderdate) as month from orders")
 def _(s, d):
     t = F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss")
     return table(s, d, "orders").select("o_orderkey", X.exif_year_month(t).alias("d")).select("o_orderkey", "d.*")
 
 
-@query("op098_iso_dates", r"select row_id, cast(nullif(regexp_extract(caption_timestamp, '(20\d{2})-(0[1-9]|1[0-2])', 1), '') as int) as year, cast(nullif(regexp_extract(caption_timestamp, '(20\d{2})-(0[1-9]|1[0-2])', 2), '') as int) as month from results")
+@query("op098_iso_dates", f"select row_id, d[1] as year, d[2] as month from (select row_id, {iso_date_sql('caption_timestamp')} as d from results)")
 def _(s, d):
     return table(s, d, "results").select("row_id", X.iso_year_month(F.col("caption_timestamp")).alias("d")).select("row_id", "d.*")
 

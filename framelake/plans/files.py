@@ -21,7 +21,7 @@ def _(s, d):
 
 @query("op003_classify_extension", r"""select file_type_of as file_type, ext, count(*) as n from (
   select lower(regexp_extract(file_path, '(\.[^./\\]+)$', 1)) as ext,
-    case when lower(regexp_extract(file_path, '(\.[^./\\]+)$', 1)) in ('.mp4','.mov','.avi','.mkv','.m4v','.mts','.m2ts','.3gp','.wmv','.mpg','.mpeg','.webm') then 'video'
+    case when lower(regexp_extract(file_path, '(\.[^./\\]+)$', 1)) in ('.mp4','.mov','.avi','.mkv','.m4v') then 'video'
          when lower(regexp_extract(file_path, '(\.[^./\\]+)$', 1)) in ('.jpg','.jpeg','.png','.heic','.heif','.tif','.tiff','.bmp','.webp') then 'image' end as file_type_of
   from manifest) group by all""")
 def _(s, d):
@@ -181,7 +181,10 @@ def _(s, d):
     return a.filter("digest is not null").distinct()
 
 
-@query("op160_format_bytes", "select file_path, epoch_us(scanned_at) as scanned_us, case when size_bytes < 1024 then size_bytes || ' B' when size_bytes / 1024.0 < 10 then printf('%.1f KB', size_bytes / 1024.0) when size_bytes / 1024.0 < 1024 then printf('%.0f KB', size_bytes / 1024.0) when size_bytes / 1048576.0 < 10 then printf('%.1f MB', size_bytes / 1048576.0) when size_bytes / 1048576.0 < 1024 then printf('%.0f MB', size_bytes / 1048576.0) when size_bytes / 1073741824.0 < 10 then printf('%.1f GB', size_bytes / 1073741824.0) when size_bytes / 1073741824.0 < 1024 then printf('%.0f GB', size_bytes / 1073741824.0) else printf('%.1f TB', size_bytes / 1099511627776.0) end as shown from manifest")
+_SIZE = "when size_bytes < {top} then case when size_bytes / {unit}.0 < 10 then printf('%.1f {name}', round_even(size_bytes / {unit}.0, 1)) else printf('%d {name}', cast(round_even(size_bytes / {unit}.0, 0) as bigint)) end"
+
+
+@query("op160_format_bytes", "select file_path, epoch_us(scanned_at) as scanned_us, case when size_bytes < 1024 then size_bytes || ' B' " + " ".join(_SIZE.format(unit=1024**k, top=1024 ** (k + 1) if k < 3 else 1 << 62, name=n) for k, n in enumerate(("KB", "MB", "GB"), 1)) + " end as shown from manifest")
 def _(s, d):
     return table(s, d, "manifest").select("file_path", F.unix_micros(F.col("scanned_at").cast("timestamp")).alias("scanned_us"), X.format_bytes(F.col("size_bytes")).alias("shown"))
 

@@ -12,7 +12,7 @@ from framelake.plans.registry import query, table
 AREA_SQL = "case when face_x1 is not null and face_y1 is not null and face_x2 is not null and face_y2 is not null and frame_w > 0 and frame_h > 0 then least(greatest(cast(greatest(face_x2 - face_x1, 0) as double) * greatest(face_y2 - face_y1, 0) / (cast(frame_w as double) * frame_h), 0.0), 1.0) end"
 NN = "case when isnan({0}) then null else {0} end"
 SCORE_SQL = "case when p_okay is not null or p_good is not null then least(greatest(0.5 * coalesce(p_okay, 0.0) + coalesce(p_good, 0.0), 0.0), 1.0) end"
-QUALITY_SQL = f"least(greatest(coalesce(0.6 * ({SCORE_SQL}) + 0.3 * coalesce({NN.format('aesthetics_norm')}, 0.0) + 0.1 * coalesce({AREA_SQL}, 0.0), coalesce({NN.format('aesthetics_norm')}, 0.0) * 0.72), 0.0), 1.0)"
+QUALITY_SQL = f"least(greatest(coalesce(0.6 * ({SCORE_SQL}) + 0.3 * least(greatest(coalesce({NN.format('aesthetics_norm')}, 0.0), 0.0), 1.0) + 0.1 * coalesce({AREA_SQL}, 0.0), least(greatest(coalesce({NN.format('aesthetics_norm')}, 0.0), 0.0), 1.0) * 0.72), 0.0), 1.0)"
 DATE_OF = "make_timestamp(cast(epoch_us(processed_at) as bigint))"
 
 
@@ -42,7 +42,7 @@ def _(s, d):
     return f.select("row_id", w.alias("width"), (w * (F.col("y2") - F.col("y1"))).alias("area"))
 
 
-REASON_SQL = "case when area < 0.004 then printf('too_small(%.4f<0.004)', area) when area < 0.025 and (cx < 0.1 * frame_w or cx > 0.9 * frame_w or cy < 0.1 * frame_h or cy > 0.9 * frame_h) then printf('small_and_edge(%.4f<0.025)', area) end"
+REASON_SQL = "case when area < 0.004 then printf('too_small(%.4f<0.004)', area) when area < 0.025 and (cx < 0.1 * frame_w or cx > 0.9 * frame_w or cy < 0.1 * frame_h or cy > 0.9 * frame_h) then printf('small_and_edge(%.4f)', area) end"
 FACES_SQL = "(select *, cast(face_x2 - face_x1 as double) * (face_y2 - face_y1) / (cast(frame_w as double) * frame_h) as area, (face_x1 + face_x2) / 2.0 as cx, (face_y1 + face_y2) / 2.0 as cy from results where face_x1 is not null)"
 
 
@@ -314,14 +314,14 @@ def _(s, d):
     return r.select("row_id", b.alias("b")).select("row_id", "b.*")
 
 
-@query("op171_keypoint_rules", "select l_orderkey, l_linenumber, concat_ws(',', case when not (l_tax < l_discount and l_discount < l_quantity / 50) then 'vertical_order' end, case when not (ratio between 0.25 and 0.75) then 'ratio' end, case when span < 0.25 then 'span' end) as reasons from (select *, case when l_quantity <> 0 then l_discount * 100 / l_quantity end as ratio, l_quantity / 100 as span from lineitem)")
+@query("op171_keypoint_rules", "select l_orderkey, l_linenumber, concat_ws(',', case when not (l_tax < l_discount and l_discount < l_quantity / 50) then 'order' end, case when not (ratio between 0.25 and 0.75) then 'ratio' end, case when span < 0.25 then 'span' end) as reasons from (select *, case when l_quantity <> 0 then l_discount * 100 / l_quantity end as ratio, l_quantity / 100 as span from lineitem)")
 def _(s, d):
     q = F.col("l_quantity")
     r = S.keypoint_anomalies(F.col("l_tax"), F.col("l_discount"), q / 50, F.col("l_discount") * 100, q, q, F.lit(100.0))
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(r, ",").alias("reasons"))
 
 
-@query("op124_keypoint_summary", "select reason, count(*) as n from (select unnest(list_filter([case when not (l_tax < l_discount and l_discount < l_quantity / 50) then 'vertical_order' end, case when not (case when l_quantity <> 0 then l_discount * 100 / l_quantity end between 0.25 and 0.75) then 'ratio' end, case when l_quantity / 100 < 0.25 then 'span' end], lambda x: x is not null)) as reason from lineitem) group by reason")
+@query("op124_keypoint_summary", "select reason, count(*) as n from (select unnest(list_filter([case when not (l_tax < l_discount and l_discount < l_quantity / 50) then 'order' end, case when not (case when l_quantity <> 0 then l_discount * 100 / l_quantity end between 0.25 and 0.75) then 'ratio' end, case when l_quantity / 100 < 0.25 then 'span' end], lambda x: x is not null)) as reason from lineitem) group by reason")
 def _(s, d):
     q = F.col("l_quantity")
     r = S.keypoint_anomalies(F.col("l_tax"), F.col("l_discount"), q / 50, F.col("l_discount") * 100, q, q, F.lit(100.0))

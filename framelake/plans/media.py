@@ -110,7 +110,7 @@ def _(s, d):
     return V.embed(r, "row_id", "embedding", measure, "sharpness double, code long")
 
 
-KV = ", ".join(rf"list_extract(list_filter(list_transform(regexp_split_to_array(t, '\r\n|\r|\n'), lambda x: regexp_replace(regexp_extract(x, '(?i)^[\s\-*•>]*{k}\s*:(.*)$', 1), '^[\s\[\]*]+|[\s\[\]*]+$', '', 'g')), lambda x: x <> ''), -1) as {k}" for k in ("setting", "activity", "description"))
+KV = ", ".join(f"{X.last_value_sql('t', k)} as {k}" for k in ("setting", "activity", "description"))
 
 
 @query("op180_combined_values", rf"select raw_id, {KV} from (select raw_id, concat_ws(chr(10), prompt1_raw, 'description: ' || prompt2_raw) as t from raw_outputs_a)")
