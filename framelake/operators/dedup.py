@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -75,26 +77,42 @@ def similarity_code(text: Column) -> Column:
     return F.pandas_udf(run, "long")(text)
 
 
-def _bands(c: Column, radius: int) -> list[Column]:
-    """radius + 1 bands of 64 bits, the last takes what is left."""
-    n = radius + 1
+def _bands(c: Column, n: int) -> list[Column]:
+    """n bands of 64 bits, the last takes what is left."""
     width = 64 // n
     mask = [(1 << (width if k < n - 1 else 64 - width * (n - 1))) - 1 for k in range(n)]
     return [F.shiftrightunsigned(c, k * width).bitwiseAND(F.lit(m if m < 1 << 63 else -1)) for k, m in enumerate(mask)]
 
 
-def hamming_edges(df: DataFrame, id_col: str, hash_col: str, radius: int, group: list[str] | None = None) -> DataFrame:
-    """(a, b), a < b: rows of distinct hashes within ``radius`` bits, found where a band is equal.
+def _flips(width: int, most: int) -> list[int]:
+    """All masks of at most so many of the lowest bits."""
+    return [sum(1 << i for i in at) for k in range(most + 1) for at in combinations(range(width), k)]
+
+
+def hamming_edges(df: DataFrame, id_col: str, hash_col: str, radius: int, group: list[str] | None = None, probe_from: int = 50_000) -> DataFrame:
+    """(a, b), a < b: rows of distinct hashes within ``radius`` bits.
 
-    ``radius + 1`` bands leave one without a difference. Equal hashes are represented by their
-    smallest id, so copies cost a row each; null hashes have no edges.
+    Of ``radius + 1`` bands one is without a difference, so few hashes are joined on equal bands. From
+    ``probe_from`` hashes on bands of so few bits hold too many rows each; then there are three
+    wide bands, one of which differs in a third of the bits at most, and each hash is looked for under
+    all values of a band that are so near. Either way a pair is kept at its first band. Equal
+    hashes are represented by their smallest id, so copies cost a row each; null hashes have no edges.
     """
     keys = group or []
     reps = df.filter(F.col(hash_col).isNotNull()).groupBy(*keys, hash_col).agg(F.min(id_col).alias("rep"))
-    e = reps.select(*keys, F.col(hash_col).alias("h"), "rep", F.posexplode(F.array(*_bands(F.col(hash_col), radius))).alias("band", "bits"))
-    j = e.alias("x").join(e.alias("y"), [*keys, "band", "bits"]).filter("x.rep < y.rep")
+    wide = radius >= 3 and reps.count() >= probe_from
+    n, flips = (3, radius // 3) if wide else (radius + 1, 0)
+    of = lambda h: _bands(h, n)
+    e = reps.select(*keys, F.col(hash_col).alias("h"), "rep", F.posexplode(F.array(*of(F.col(hash_col)))).alias("band", "bits"))
+    probes = e
+    if flips:
+        near = F.explode(F.array(*[F.lit(m).cast("long") for m in _flips(64 // n, flips)]))
+        last = F.explode(F.array(*[F.lit(m).cast("long") for m in _flips(64 - 64 // n * (n - 1), flips)]))
+        parts = [e.filter(F.col("band") < n - 1).withColumn("flip", near), e.filter(F.col("band") == n - 1).withColumn("flip", last)]
+        probes = parts[0].unionByName(parts[1]).withColumn("bits", F.col("bits").bitwiseXOR(F.col("flip"))).drop("flip")
+    j = probes.alias("x").join(e.alias("y"), [*keys, "band", "bits"]).filter("x.rep < y.rep")
     diff = F.col("x.h").bitwiseXOR(F.col("y.h"))
-    first = F.coalesce(*[F.when(b == 0, F.lit(k)) for k, b in enumerate(_bands(diff, radius))])
+    first = F.coalesce(*[F.when(F.bit_count(b) <= flips, F.lit(k)) for k, b in enumerate(of(diff))])
     return j.filter((F.bit_count(diff) <= radius) & (F.col("band") == first)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 

@@ -99,6 +99,12 @@ def stage_shares(df: DataFrame, stage: str, seconds: str, n_files: Column) -> Da
     return a.select(stage, F.round("total", 4).alias("total"), F.round(F.col("total") / n_files, 6).alias("mean"), F.col("longest"), F.round(F.try_divide(F.col("total"), whole), 6).alias("share"))
 
 
+def shown_counts(df: DataFrame, visible: Column, odd: Column) -> DataFrame:
+    """(anomalous, normal, shown, total) of cards; one that is not known to be odd is normal, to be visible is hidden."""
+    v, o = (F.coalesce(c, F.lit(False)) for c in (visible, odd))
+    return df.agg(F.count_if(v & o).alias("anomalous"), F.count_if(v & ~o).alias("normal"), F.count_if(v).alias("shown"), F.count("*").alias("total"))
+
+
 def rejection_counts(df: DataFrame, kinds: Column, kept: Column) -> DataFrame:
     """(kind, n) of the rejected faces of all frames, and the frames that lost every face."""
     k = df.select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))

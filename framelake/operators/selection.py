@@ -36,17 +36,20 @@ def first_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFra
 
 def section_rank(df: DataFrame, section: list[str], group: str, ts: Column, tie: list[Column]) -> DataFrame:
     """``position`` in a section: by the earliest moment of the row's group, the group, its moment, ties."""
-    first = F.min(ts).over(Window.partitionBy(*section, group))
-    d = df.withColumn("_first", first)
+    # the earliest moments come back by a join, so that the rows without a group are not one task
+    first = df.groupBy(*section, group).agg(F.min(ts).alias("_first"))
+    same = [df[c].eqNullSafe(first[c]) for c in (*section, group)]
+    d = df.join(first, same).select(*[df[c] for c in df.columns], "_first")
     return d.withColumn("position", F.row_number().over(Window.partitionBy(*section).orderBy("_first", group, ts, *tie))).drop("_first")
 
 
 def followers_after_representative(df: DataFrame, pos: str, group: str, is_rep: str) -> DataFrame:
     """``place``: group members follow their representative, in order; rows without a group keep theirs."""
-    rep = F.min(F.when(F.col(is_rep), F.col(pos))).over(Window.partitionBy(group))
-    lead = F.when(F.col(group).isNull(), F.col(pos)).otherwise(F.coalesce(rep, F.col(pos)))
+    reps = df.filter(F.col(group).isNotNull() & F.col(is_rep)).groupBy(group).agg(F.min(pos).alias("_rep"))
+    df = df.join(reps, group, "left").select(*df.columns, "_rep")
+    lead = F.coalesce("_rep", F.col(pos))
     # the place is a rank over all rows, so it is ordered without a single partition: ranges are numbered
-    return global_rank(df.withColumn("_lead", lead), ["_lead", (~F.col(is_rep)).cast("int"), pos], "place").drop("_lead")
+    return global_rank(df.withColumn("_lead", lead), ["_lead", (~F.col(is_rep)).cast("int"), pos], "place").drop("_lead", "_rep")
 
 
 def global_rank(df: DataFrame, order: list, name: str) -> DataFrame:

@@ -328,6 +328,14 @@ def _(s, d):
     return table(s, d, "lineitem").select(F.explode(r).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@query("op128_shown_counts", """with k as (select l_quantity < 25 as visible, (not (l_tax < l_discount and l_discount < l_quantity / 50) or not (case when l_quantity <> 0 then l_discount * 100 / l_quantity end between 0.25 and 0.75) or l_quantity / 100 < 0.25) as odd from lineitem)
+select count(*) filter (visible and odd) as anomalous, count(*) filter (visible and not odd) as normal, count(*) filter (visible) as shown, count(*) as total from k""")
+def _(s, d):
+    q = F.col("l_quantity")
+    r = S.keypoint_anomalies(F.col("l_tax"), F.col("l_discount"), q / 50, F.col("l_discount") * 100, q, q, F.lit(100.0))
+    return metrics.shown_counts(table(s, d, "lineitem"), q < 25, F.size(r) > 0)
+
+
 @query("op187_mmss", "select row_id, printf('%02d:%02d', cast(floor(timestamp_s) as bigint) // 60, cast(floor(timestamp_s) as bigint) % 60) as shown from results where timestamp_s is not null and not isnan(timestamp_s)")
 def _(s, d):
     r = table(s, d, "results").filter("timestamp_s is not null and not isnan(timestamp_s)")

@@ -96,11 +96,18 @@ def _(s, d):
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query("op236_best_epoch", "select user_id, first(event_id order by value, event_id) as epoch from events group by user_id")
+@query("op236_best_epoch", """with e as (select user_id, row_number() over (partition by user_id order by event_id) as epoch, round(value, 1) as score from events),
+b as (select *, score > coalesce(max(score) over (partition by user_id order by epoch rows between unbounded preceding and 1 preceding), '-infinity'::double) as better from e),
+l as (select *, max(case when better then epoch end) over (partition by user_id order by epoch rows between unbounded preceding and current row) as last from b),
+t as (select *, coalesce(max(case when epoch - last >= 3 then 1 else 0 end) over (partition by user_id order by epoch rows between unbounded preceding and 1 preceding), 0) as stopped from l)
+select user_id, first(epoch order by score desc, epoch) as epoch from t where stopped = 0 group by user_id""")
 def _(s, d):
+    """Three epochs without a better score end the training of a user; the events are the epochs."""
     from framelake.operators.selection import best_epoch
 
-    return best_epoch(table(s, d, "events").select("user_id", "event_id", "value"), "value", "event_id", 1_000_000, ["user_id"]).select("user_id", F.col("event_id").alias("epoch"))
+    e = table(s, d, "events").withColumn("epoch", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
+    e = e.select("user_id", "epoch", (-F.round("value", 1)).alias("loss"))
+    return best_epoch(e, "loss", "epoch", 3, ["user_id"]).select("user_id", "epoch")
 
 
 @query("op176_placeholder_names")

@@ -2,8 +2,8 @@
 
 Iterative operators cut lineage by writing small tables. On a cluster they go to the
 folder named by ``spark.checkpoint.dir``, which all executors share, so that a lost
-executor loses no intermediate result. Only where that setting is absent (tests,
-laptops) a local folder is created and set.
+executor loses no intermediate result. Only in local mode may that setting be absent (tests,
+laptops): then a local folder is created and set.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ def scratch_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     got = spark.sparkContext.getCheckpointDir()
     if got is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="framelake-"))
         got = spark.sparkContext.getCheckpointDir()
     return got.rstrip("/")

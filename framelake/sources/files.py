@@ -79,20 +79,40 @@ def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
 
 
-def write_document(obj: object, path: str) -> None:
-    """A small JSON document, replaced as a whole."""
-    tmp = path + ".part"
-    with open(tmp, "w") as f:
-        json.dump(obj, f)
-    os.replace(tmp, path)
+def write_document(obj: object, path: str, spark: SparkSession | None = None) -> None:
+    """A small JSON document, replaced as a whole: written beside the old one, then renamed over it.
+
+    With a session the path may be on any file system that Spark knows.
+    """
+    text = json.dumps(obj)
+    if spark is None:
+        with open(path + ".part", "w") as f:
+            f.write(text)
+        os.replace(path + ".part", path)
+        return
+    jvm = spark.sparkContext._jvm
+    to, part = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".part"))
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs = to.getFileSystem(conf)
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), conf).rename(part, to, _overwrite(spark))
+
+
+def _overwrite(spark: SparkSession):
+    jvm = spark.sparkContext._jvm
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    return options
 
 
 def write_version(df: DataFrame, root: str) -> str:
-    """A table written beside its former versions; the name is returned once it is complete."""
+    """A table written beside its former versions; readers take it once it is complete."""
     from framelake.streaming.incremental import _versions
 
-    n = 1 + max([int(p.rsplit("=", 1)[1]) for p in _versions(df.sparkSession, root)], default=-1)
-    df.write.parquet(f"{root}/v={n}")
+    n = 1 + max(_versions(df.sparkSession, root), default=-1)
+    df.write.mode("overwrite").parquet(f"{root}/v={n}")
     return f"{root}/v={n}"
 
 

@@ -85,27 +85,38 @@ def session_counts(events: DataFrame, ts: str, gap: str, key: str, late: str | N
     return d.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "n")
 
 
-def merge_batches(stream: DataFrame, target: str, key: str) -> None:
-    """foreachBatch merge by key into a versioned table: later batches replace the rows they hold."""
+def merge_batches(stream: DataFrame, target: str, key: str, order: list[str] | None = None) -> None:
+    """foreachBatch merge by key into a versioned table: later batches replace the rows they hold.
+
+    A version is named by the number of its batch, so a batch that is delivered again changes
+    nothing; one that was not finished is written anew. Of the rows of a key in one batch the
+    last by ``order`` (default: by all other columns) stays.
+    """
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        versions = sorted(int(p.rsplit("=", 1)[1]) for p in _versions(spark, target))
-        new = batch.dropDuplicates([key])
-        if versions:
-            old = spark.read.parquet(f"{target}/v={versions[-1]}")
+        done = _versions(spark, target)
+        if n in done:
+            return
+        rest = order or [c for c in batch.columns if c != key]
+        new = batch.groupBy(key).agg(F.max(F.struct(*rest, *[c for c in batch.columns if c not in (key, *rest)])).alias("_r")).select(key, "_r.*").select(*batch.columns)
+        if before := [v for v in done if v < n]:
+            old = spark.read.parquet(done[max(before)])
             new = old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
-        new.write.mode("overwrite").parquet(f"{target}/v={(versions[-1] if versions else -1) + 1}")
+        new.write.mode("overwrite").parquet(f"{target}/v={n}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", target + "-checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
 def latest(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(max(_versions(spark, target), key=lambda p: int(p.rsplit("=", 1)[1])))
+    done = _versions(spark, target)
+    return spark.read.parquet(done[max(done)])
 
 
-def _versions(spark: SparkSession, target: str) -> list[str]:
+def _versions(spark: SparkSession, target: str) -> dict[int, str]:
+    """Folders of the finished versions, which hold a mark of success, by number."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(target)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [s.getPath().toString() for s in fs.listStatus(p) if "v=" in s.getPath().getName()] if fs.exists(p) else []
+    found = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("v=")] if fs.exists(p) else []
+    return {int(q.getName()[2:]): q.toString() for q in found if fs.exists(jvm.org.apache.hadoop.fs.Path(q, "_SUCCESS"))}

@@ -1,5 +1,6 @@
 """Operators against brute force, with nulls, ties, edges, repeats and empty tables."""
 
+import json
 import random
 import struct
 
@@ -76,8 +77,9 @@ def test_hamming_edges_of_64_bits(spark):
     codes += [c ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for c in codes]
     df = spark.createDataFrame(list(enumerate(codes)), "i long, h long")
     want = {(a, b) for a in range(120) for b in range(a + 1, 120) if codes[a] != codes[b] and bin((codes[a] ^ codes[b]) & (2**64 - 1)).count("1") <= 8}
-    got = [(min(r.a, r.b), max(r.a, r.b)) for r in dedup.hamming_edges(df, "i", "h", 8).collect()]
-    assert set(got) == want and len(got) == len(want)
+    for start in (1, 50_000):  # wide bands that are probed, and narrow ones
+        got = [(min(r.a, r.b), max(r.a, r.b)) for r in dedup.hamming_edges(df, "i", "h", 8, probe_from=start).collect()]
+        assert set(got) == want and len(got) == len(want)
 
 
 def test_canonical(spark):
@@ -302,6 +304,9 @@ def test_files(spark, tmp_path):
     c = files.RunConfig.load(str(tmp_path / "c.yaml"))
     assert (c.name, c.long_video_windows, c.long_video_threshold_s) == ("june", 3, 60.0)
     files.write_document({"a": 1}, str(tmp_path / "d.json"))
+    for n in (1, 2):
+        files.write_document({"n": n}, f"file://{tmp_path}/e.json", spark)
+    assert json.loads((tmp_path / "e.json").read_text()) == {"n": 2} and not (tmp_path / "e.json.part").exists()
     assert files.read_document(spark, str(tmp_path / "d.json"), "a int").first().a == 1
     assert files.read_document(spark, str(tmp_path / "missing.json"), "a int").count() == 0
     v = [files.write_version(spark.range(n), str(tmp_path / "table")) for n in (1, 2)]

@@ -1,5 +1,8 @@
 """Streams give what the same plan gives on a table."""
 
+import os
+import shutil
+
 from pyspark.sql import functions as F
 
 from framelake.operators.dedup import greedy_spacing
@@ -31,6 +34,20 @@ def test_merge_keeps_the_latest(spark, tmp_path):
     assert {r.k: r.v for r in inc.latest(spark, str(tmp_path / "out")).collect()} == {1: "a", 2: "b", 3: "c"}
 
 
+def test_merge_of_a_batch_again_changes_nothing(spark, tmp_path):
+    out = str(tmp_path / "out")
+    s = parts(spark, tmp_path, [(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    inc.merge_batches(s, out, "k", ["v"])
+    versions = inc._versions(spark, out)
+    want = {r.k: r.v for r in inc.latest(spark, out).collect()}
+    assert want == {1: "b", 2: "c"}
+    shutil.rmtree(out + "-checkpoint")  # the stream forgets what it delivered
+    spark.createDataFrame([(9, "x")], "k int, v string").write.parquet(f"{out}/v=99")
+    os.remove(f"{out}/v=99/_SUCCESS")  # a version that was not finished
+    inc.merge_batches(s, out, "k", ["v"])
+    assert inc._versions(spark, out) == versions and {r.k: r.v for r in inc.latest(spark, out).collect()} == want
+
+
 def test_counts_and_dedup(spark, data):
     e = spark.read.parquet(f"{data}/events.parquet")
     s = spark.readStream.schema(e.schema).parquet(f"{data}/events*.parquet").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
