@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +39,10 @@ def first_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFra
 def section_rank(df: DataFrame, section: list[str], group: str, ts: Column, tie: list[Column]) -> DataFrame:
     """``position`` in a section: by the earliest moment of the row's group, the group, its moment, ties."""
     # the earliest moments come back by a join, so that the rows without a group are not one task
-    first = df.groupBy(*section, group).agg(F.min(ts).alias("_first"))
-    same = [df[c].eqNullSafe(first[c]) for c in (*section, group)]
-    d = df.join(first, same).select(*[df[c] for c in df.columns], "_first")
+    keys = [*section, group]
+    first = df.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]).agg(F.min(ts).alias("_first"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])
+    d = df.join(first, same).select(*df.columns, "_first")
     return d.withColumn("position", F.row_number().over(Window.partitionBy(*section).orderBy("_first", group, ts, *tie))).drop("_first")
 
 

@@ -217,9 +217,8 @@ def _(s, d):
     return r.agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.median(c).alias("median"))
 
 
-@query("op126_text_stats", "select count(*) as n, round(avg(w), 6) as mean, round(stddev_pop(w), 6) as deviation, min(w) as low, max(w) as high from (select len(regexp_extract_all(caption_description, '[A-Za-z0-9_]+')) as w from results where caption_description is not null and regexp_full_match(caption_description, '[ -~]*'))")
+@query("op126_text_stats", r"select count(*) as n, round(avg(w), 6) as mean, round(stddev_pop(w), 6) as deviation, min(w) as low, max(w) as high from (select len(regexp_extract_all(caption_description, '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}]+')) as w from results where caption_description is not null)")
 def _(s, d):
-    """Over all captions; the SQL still leaves out those with a character beyond printable ASCII and differs."""
     r = table(s, d, "results").filter("caption_description is not null").select(X.word_count(F.col("caption_description")).cast("long").alias("w"))
     return r.agg(F.count("*").alias("n"), F.round(F.avg("w"), 6).alias("mean"), F.round(F.stddev_pop("w"), 6).alias("deviation"), F.min("w").alias("low"), F.max("w").alias("high"))
 

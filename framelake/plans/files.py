@@ -208,7 +208,7 @@ def _(s, d):
     return with_sample_windows(m, "hash", "duration_s").select("file_path", "windows")
 
 
-@query("op201_uniform_targets", "select file_path, i as target_index, i / 0.5 as target_s from (select file_path, duration_s from manifest where duration_s is not null and not isnan(duration_s) and duration_s < 100000 qualify row_number() over (partition by file_path order by scanned_at) = 1), lateral (select unnest(range(greatest(1, cast(floor(duration_s * 0.5) as bigint)))) as i)")
+@query("op201_uniform_targets", "select file_path, i as target_index, i / 0.5 as target_s from (select file_path, duration_s from manifest where duration_s < 'infinity'::double qualify row_number() over (partition by file_path order by scanned_at) = 1), lateral (select unnest(range(greatest(1, cast(floor(duration_s * 0.5) as bigint)))) as i)")
 def _(s, d):
     from framelake.operators.sampling import uniform_targets
 

@@ -86,7 +86,7 @@ def _(s, d):
     return M.rotations_of(r, "content").select("row_id", "rotation")
 
 
-@query("op092_head_digest", "select doc_id, md5(encode(text)) as digest from documents where text is not null and strlen(text) <= 65536")
+@query("op092_head_digest", "select doc_id, md5(unhex(left(hex(encode(text)), 2 * 65536))) as digest from documents where text is not null")
 def _(s, d):
     docs = table(s, d, "documents").filter("text is not null")
     return docs.select("doc_id", X.content_digest(F.encode("text", "utf-8")).alias("digest"))
