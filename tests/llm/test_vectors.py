@@ -199,6 +199,9 @@ def test_condense():
     # without a split the whole tree is the cluster; copies are of finite density; too small a tree is none
     (d, s, m, leave), = clusters.condense(6, np.arange(5), np.arange(1, 6), np.zeros(5), 0.5, 5)
     assert (d, m.tolist(), s) == (0.5, list(range(6)), 6 * (100 - 2.0)) and (leave == 100).all()
+    # an edge too many changes nothing
+    again = clusters.condense(11, np.r_[a, a], np.r_[b, b], np.r_[dist, dist], 0.5, 5)
+    assert [m.tolist() for _, _, m, _ in again] == [[0, 1, 2, 3, 4], [5, 6, 7, 8, 9]]
     assert clusters.condense(3, np.arange(2), np.arange(1, 3), np.zeros(2), 0.5, 5) == []
 
 
