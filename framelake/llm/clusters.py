@@ -6,11 +6,11 @@
    the forest of the whole, so only forest edges leave the task: one a row at most.
 3. Families overlap in few rows. Their forests are joined by distributed Boruvka rounds on
    the components that such rows tie together; all others are final already.
-4. A tree is condensed in one task: its edges are taken from short to long, splits that leave fewer
-   than ``min_size`` rows shed rows, others make clusters, and the most stable ones are selected.
-   Trees of more than ``task_rows`` edges are cut at a ladder of levels from tight to loose instead,
-   each level on the contracted components of the one before; their condensed tree, stabilities
-   and selection are tables.
+4. A tree is condensed from short to long edges: where two components of ``min_size`` rows meet, each
+   has been a cluster, smaller ones are shed, and the most stable clusters are selected
+   (``fold``). A component is known by its size, two sums and its typical rows, so a tree of more
+   than ``task_rows`` edges is folded in runs of so many edges, each on the components of the run
+   before, by the same steps in the same order: the clusters do not depend on ``task_rows``.
 """
 
 from __future__ import annotations
@@ -19,17 +19,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.knn import top_k
 from framelake.llm.permutation import IndexParams, blocked, build, slices
 from framelake.llm.vectors import exact_cos, unit, unpack
 from framelake.operators.graph import connected_components
+from framelake.operators.selection import global_rank
 from framelake.session import materialize
 
-LEVELS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
-
 
 def _forest(dist: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Root, parent (-1 at roots) and parent distance of each row, by Prim over edges below limit."""
@@ -177,6 +176,7 @@ def condense(n: int, a: np.ndarray, b: np.ndarray, dist: np.ndarray, longest: fl
     """Selected clusters of one tree: (distance at birth, stability, members, density at which each leaves).
 
     Rows 0..n-1; the edges of a spanning tree, in any order. The whole tree is born at ``longest``.
+    This is the plain form, top-down over a whole tree; ``fold`` gives the same clusters.
     """
     order = np.lexsort((b, a, dist))
     top, left, right, size = list(range(n)), [-1] * n, [-1] * n, [1] * n
@@ -236,104 +236,145 @@ def condense(n: int, a: np.ndarray, b: np.ndarray, dist: np.ndarray, longest: fl
     return [(1.0 / born[c], stable[c], np.flatnonzero(of == c), leave[of == c]) for c in np.unique(of[of >= 0])] if n >= min_size else []
 
 
-CONDENSED = "cluster_id long, size long, level double, stability double, exemplars array<long>"
+FOLDED = "kind int, tree long, node long, holder long, covered boolean, size long, trunk double, kids double, neg array<double>, ids array<long>, level double"
+STATE, MOVED, CLUSTER = 0, 1, 2
 
 
-def _condense_in_unit(longest: float, min_size: int, exemplars: int):
-    names = ["cluster_id", "size", "level", "stability", "exemplars"]
+def fold(tree: int, ends: tuple[np.ndarray, np.ndarray], order: np.ndarray, dist: np.ndarray, known: dict[int, tuple], longest: float | None, min_size: int, exemplars: int) -> list[tuple]:
+    """Rows of FOLDED: what a run of edges makes of its components.
 
-    def run(t: pa.Table) -> pa.Table:
-        a, b, dist, tree = (t[c].to_numpy() for c in ("a", "b", "dist", "tree"))
-        rows = []
+    ``ends`` are names (smallest ids) of components; those that are not ``known`` are single rows. ``trunk``
+    sums the densities at which rows leave a component, ``kids`` the stabilities selected below it, and
+    ``neg`` and ``ids`` are its typical rows by negative density. With ``longest`` the run is the
+    tree's last, and its root is a cluster born at that distance.
+
+    CLUSTER rows are selected unless a later run makes their ``holder`` part of a selected cluster; MOVED rows
+    tell the new holder of each component, and whether it is covered that way.
+    """
+    names, at = np.unique(np.concatenate(ends), return_inverse=True)
+    names, n = names.tolist(), len(names)
+    state = [known.get(v, (1, 0.0, 0.0, [0.0], [v])) for v in names]
+    size, trunk, kids = ([x[k] for x in state] for k in range(3))
+    typical = [list(zip(x[3], x[4])) for x in state]
+    live = [[v] if size[v] >= min_size else [] for v in range(n)]  # what is selected: numbers are components of earlier runs
+    least, top = list(range(n)), list(range(n))
+
+    def find(v: int) -> int:
+        while top[v] != v:
+            top[v] = top[top[v]]
+            v = top[v]
+        return v
+
+    def value(c: int, lam: float) -> float:
+        """The best stability below and at a component that is a cluster born at lam."""
+        own = trunk[c] - size[c] * lam
+        if own >= kids[c] - 1e-11 * trunk[c]:  # a tie but for rounding
+            live[c] = [(names[least[c]], size[c], round(1 - 1 / lam, 9), max(round(own, 6), 0.0), [i for _, i in typical[c]])]
+        return max(own, kids[c])
+
+    lam = (1.0 / np.maximum(dist[order], SHORTEST)).tolist()
+    for x, y, w in zip(at[: len(order)][order].tolist(), at[len(order) :][order].tolist(), lam):
+        x, y = find(x), find(y)
+        if x == y:
+            continue
+        if size[x] < size[y] or (size[x] == size[y] and names[least[x]] > names[least[y]]):
+            x, y = y, x
+        both = size[x] + size[y]
+        if size[y] >= min_size:
+            kids[x] = value(x, w) + value(y, w)
+            trunk[x] = both * w
+        elif both >= min_size:  # what is smaller leaves here
+            leaving = [z for z in (x, y) if size[z] < min_size]
+            for z in leaving:
+                trunk[x] += size[z] * w
+                typical[z] = [(-w, i) for _, i in typical[z]]
+        typical[x] = sorted(typical[x] + typical[y])[:exemplars]
+        if len(live[x]) < len(live[y]):
+            live[x], live[y] = live[y], live[x]
+        live[x] += live[y]
+        live[y], typical[y] = [], []
+        size[x], top[y], least[x] = both, x, min(least[x], least[y])
+    roots = [v for v in range(n) if top[v] == v]
+    if longest is not None:
+        for v in roots:
+            if size[v] >= min_size:
+                value(v, 1.0 / max(longest, SHORTEST))
+    uncovered = {x for v in roots for x in live[v] if isinstance(x, int)}
+    out = [(MOVED, tree, names[v], names[least[find(v)]], v not in uncovered, 0, 0.0, 0.0, [], [], 0.0) for v in range(n)]
+    for v in roots:
+        name = names[least[v]]
+        out += [(CLUSTER, tree, x[0], name, False, x[1], x[3], 0.0, [], x[4], x[2]) for x in live[v] if not isinstance(x, int)]
+        if longest is None:
+            out.append((STATE, tree, name, name, False, size[v], trunk[v], kids[v], [d for d, _ in typical[v]], [i for _, i in typical[v]], 0.0))
+    return out
+
+
+def _fold_in_unit(longest: float, min_size: int, exemplars: int):
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.float64())
+    names = [c.split()[0] for c in FOLDED.split(", ")]
+
+    def run(t: pa.Table, states: pa.Table | None = None) -> pa.Table:
+        if not len(t):
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        a, b, ca, cb, dist, tree, last = (t[c].to_numpy() for c in ("a", "b", "ca", "cb", "dist", "tree", "last"))
+        known = {} if states is None else {r["node"]: (r["size"], r["trunk"], r["kids"], r["neg"], r["ids"]) for r in states.to_pylist()}
+        rows: list[tuple] = []
         for at in slices(tree):
-            ids, ends = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
-            for born, stability, members, leave in condense(len(ids), ends[: len(at)], ends[len(at) :], dist[at], longest, min_size):
-                typical = ids[members[np.lexsort((ids[members], -leave))[:exemplars]]]
-                rows.append((int(ids[members[0]]), len(members), round(1 - born, 9), round(stability, 6), typical.tolist()))
-        types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, types)], names=names)
+            order = np.lexsort((b[at], a[at], dist[at]))
+            rows += fold(int(tree[at[0]]), (ca[at], cb[at]), order, dist[at], known, longest if last[at[0]] else None, min_size, exemplars)
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
 
     return run
 
 
-def cluster(df: DataFrame, min_cos: float = 0.5, min_samples: int = 5, min_size: int = 5, exemplars: int = 3, task_rows: int = 1_000_000, levels: tuple[float, ...] = LEVELS, params: IndexParams | None = None) -> DataFrame:
+def cluster(df: DataFrame, min_cos: float = 0.5, min_samples: int = 5, min_size: int = 5, exemplars: int = 3, task_rows: int = 1_000_000, params: IndexParams | None = None) -> DataFrame:
     """(cluster_id, size, level, stability, exemplars): clusters selected for their stability.
 
     ``level`` is the cosine at which a cluster is born. ``exemplars`` are the members that stay
-    longest, ties by id. In trees of more than ``task_rows`` edges densities between two of
-    ``levels`` are not told apart. Empty input and input without dense groups give no rows.
+    longest, ties by id. ``task_rows`` bounds the edges that a task folds and changes no result.
+    Empty input and input without dense groups give no rows.
     """
-    mst = materialize(spanning_forest(df, min_cos, min_samples, params), "mst")
-    sizes = materialize(mst.groupBy("tree").count(), "trees")
-    total, largest = sizes.agg(F.sum("count"), F.max("count")).first()
+    return condensed(spanning_forest(df, min_cos, min_samples, params), min_cos, min_size, exemplars, task_rows)
+
+
+def condensed(forest: DataFrame, min_cos: float, min_size: int, exemplars: int, task_rows: int) -> DataFrame:
+    """The clusters of the trees of a forest (a, b, dist, tree)."""
+    if min_size < 2:
+        raise ValueError("a cluster has two rows at least")
+    mst = materialize(forest, "mst")
+    sizes = materialize(mst.groupBy("tree").agg(F.count("*").alias("n")), "trees")
+    total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
     units = max(1, -(-(total or 0) // max(1, min(task_rows, 50_000))))
-    large = sizes.filter(F.col("count") > task_rows).select("tree")
-    small = mst if (largest or 0) <= task_rows else mst.join(large, "tree", "left_anti")
-    done = small.groupBy(F.pmod(F.xxhash64("tree"), F.lit(units)).alias("unit")).applyInArrow(_condense_in_unit(1.0 - min_cos, min_size, exemplars), CONDENSED)
-    if small is mst:
-        return done
-    return done.unionByName(ladder(mst.join(large, "tree", "left_semi"), min_cos, min_size, exemplars, levels))
-
-
-def ladder(mst: DataFrame, min_cos: float, min_size: int, exemplars: int, levels: tuple[float, ...]) -> DataFrame:
-    """cluster() of trees of any size, at a ladder of levels, the loosest first."""
-    levels = tuple(x for x in levels if x >= min_cos)
-    rows = mst.select(F.col("a").alias("row_id")).union(mst.select("b")).distinct()
-    labels = rows.withColumn("cur", F.col("row_id"))
-    edges = mst.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "dist")
-    for n in reversed(range(len(levels))):
-        comp = materialize(connected_components(edges.filter(F.col("dist") < 1 - levels[n]), "ca", "cb"), "level")
+    runs = -(-(largest or 0) // task_rows)
+    edges = mst.select("tree", "a", "b", "dist", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    if runs > 1:  # edges are numbered over tasks, not in one
+        edges = global_rank(edges, ["tree", "dist", "a", "b"], "rank")
+        first = edges.groupBy("tree").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
+        edges = edges.join(first, "tree").withColumn("run", F.floor((F.col("rank") - F.col("first")) / task_rows)).withColumn("last", F.col("run") == F.floor((F.col("n") - 1) / task_rows))
+        edges = materialize(edges.drop("rank", "first", "n"), "runs")
+    else:
+        edges = edges.withColumn("run", F.lit(0).cast("long")).withColumn("last", F.lit(True))
+    step = _fold_in_unit(1.0 - min_cos, min_size, exemplars)
+    now = edges.filter("run = 0").groupBy(F.pmod(F.xxhash64("tree"), F.lit(units)).alias("unit")).applyInArrow(lambda t: step(t), FOLDED)
+    if runs <= 1:
+        return _clusters(now)
+    now = materialize(now, "folded")
+    states, found = now.filter(F.col("kind") == STATE), now.filter(F.col("kind") == CLUSTER)
+    for n in range(1, runs):
+        moved = now.filter(F.col("kind") == MOVED).select("node", "holder", "covered")
+        edges = edges.filter(F.col("run") >= n)
         for side in ("ca", "cb"):
-            edges = edges.join(comp.select(F.col("node").alias(side), F.col("component").alias("n")), side, "left").withColumn(side, F.coalesce("n", side)).drop("n")
-        edges = materialize(edges.filter("ca <> cb"), "edges")
-        labels = labels.join(comp.select(F.col("node").alias("cur"), "component"), "cur", "left").withColumn("cur", F.coalesce("component", "cur")).drop("component").withColumn(f"c{n}", F.col("cur"))
-    labels = materialize(labels.drop("cur"), "labels")
-
-    lam = [1.0 / (1.0 - x) for x in levels]
-    # top-down: a component with one living child goes on as the same cluster, with more it splits
-    cur = labels.groupBy("c0").agg(F.count("*").alias("size")).filter(F.col("size") >= min_size).select(F.col("c0").alias("comp"), "size", F.lit(0).alias("born"), F.col("c0").alias("name"))
-    nodes = [cur.select(F.lit(0).alias("level"), "comp", "size", "born", "name", F.lit(None).cast("int").alias("up_born"), F.lit(None).cast("long").alias("up_name"))]
-    for n in range(1, len(levels)):
-        kids = labels.groupBy(F.col(f"c{n - 1}").alias("up"), F.col(f"c{n}").alias("comp")).agg(F.count("*").alias("size")).filter(F.col("size") >= min_size)
-        kids = kids.withColumn("kids", F.count("*").over(Window.partitionBy("up")))
-        j = kids.join(cur.select(F.col("comp").alias("up"), F.col("born").alias("up_born"), F.col("name").alias("up_name")), "up")
-        one = F.col("kids") == 1
-        j = materialize(j.select("comp", "size", F.when(one, F.col("up_born")).otherwise(n).alias("born"), F.when(one, F.col("up_name")).otherwise(F.col("comp")).alias("name"), "up_born", "up_name"), "nodes")
-        cur = j.select("comp", "size", "born", "name")
-        nodes.append(j.select(F.lit(n).alias("level"), "comp", "size", "born", "name", "up_born", "up_name"))
-    nodes_all = reduce(DataFrame.unionByName, nodes)
-    gain = F.element_at(F.array(*[F.lit(0.0), *[F.lit(b - a) for a, b in zip(lam, lam[1:])]]), F.col("level") + 1)
-    stab = nodes_all.groupBy("born", "name").agg(
-        F.sum(F.when(F.col("level") > F.col("born"), F.col("size") * gain).otherwise(0.0)).alias("stability"),
-        F.max(F.when(F.col("level") == F.col("born"), F.struct("up_born", "up_name"))).alias("up"),
-        F.max(F.when(F.col("level") == F.col("born"), F.col("size"))).alias("size"),
-    )
-    stab = materialize(stab.select("born", "name", "stability", "size", F.col("up.up_born").alias("up_born"), F.col("up.up_name").alias("up_name")), "stab")
-    # bottom-up: keep a cluster if it is at least as stable as the best of what it splits into
-    best = None
-    for n in reversed(range(len(levels))):
-        here = stab.filter(F.col("born") == n)
-        if best is None:
-            here = here.withColumn("below", F.lit(0.0))
-        else:
-            below = best.groupBy(F.col("up_born").alias("born"), F.col("up_name").alias("name")).agg(F.sum("value").alias("below"))
-            here = here.join(below, ["born", "name"], "left").fillna(0.0, ["below"])
-        here = here.withColumn("own", F.col("stability") >= F.col("below")).withColumn("value", F.greatest("stability", "below")).select("born", "name", "up_born", "up_name", "stability", "own", "value")
-        best = materialize(here if best is None else best.unionByName(here), "best")
-    # top-down again: the first kept cluster on each path wins
-    chosen, open_ = [], best.filter("born = 0").select("born", "name", "stability", "own")
-    for n in range(len(levels)):
-        chosen.append(open_.filter(F.col("own") & (F.col("born") == n)).select("born", "name", "stability"))
-        split = open_.filter(~F.col("own")).select(F.col("born").alias("up_born"), F.col("name").alias("up_name"))
-        nxt = best.join(split.distinct(), ["up_born", "up_name"]).select("born", "name", "stability", "own")
-        open_ = materialize(open_.filter(F.col("own") & (F.col("born") > n)).unionByName(nxt), "open")
-    chosen_all = materialize(reduce(DataFrame.union, chosen).distinct(), "chosen")
-    # members and how long they stay
-    at = labels.select("row_id", F.posexplode(F.array(*[f"c{n}" for n in range(len(levels))])).alias("level", "comp"))
-    stay = at.join(nodes_all.select("level", "comp", "born", "name"), ["level", "comp"]).join(F.broadcast(chosen_all) if chosen_all.count() < 100_000 else chosen_all, ["born", "name"])
-    stay = stay.groupBy("born", "name", "stability", "row_id").agg(F.max("level").alias("last"))
-    w = Window.partitionBy("born", "name").orderBy(F.desc("last"), "row_id")
-    typical = stay.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= exemplars).groupBy("born", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "row_id"))), lambda x: x["row_id"]).alias("exemplars"))
-    sizes = stay.groupBy("born", "name", "stability").agg(F.count("*").alias("size"), F.min("row_id").alias("cluster_id"))
-    level = F.element_at(F.array(*[F.lit(x) for x in levels]), F.col("born") + 1)
-    return sizes.join(typical, ["born", "name"]).select("cluster_id", "size", level.alias("level"), F.round("stability", 6).alias("stability"), "exemplars")
+            edges = edges.join(moved.select(F.col("node").alias(side), F.col("holder").alias("to")), side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+        edges = materialize(edges, "runs")
+        run = edges.filter(F.col("run") == n)
+        met = run.select(F.explode(F.array("ca", "cb")).alias("node")).distinct()
+        now = materialize(run.groupBy("tree").cogroup(states.join(met, "node", "left_semi").select("tree", "node", "size", "trunk", "kids", "neg", "ids").groupBy("tree")).applyInArrow(lambda t, u: step(t, u), FOLDED), "folded")
+        states = materialize(states.join(met, "node", "left_anti").unionByName(now.filter(F.col("kind") == STATE)), "states")
+        moved = now.filter(F.col("kind") == MOVED).select(F.col("node").alias("holder"), F.col("holder").alias("to"), F.col("covered").alias("gone"))
+        held = found.join(moved, "holder", "left").filter(~F.coalesce("gone", F.lit(False))).withColumn("holder", F.coalesce("to", "holder")).drop("to", "gone")
+        found = materialize(held.unionByName(now.filter(F.col("kind") == CLUSTER)), "found")
+    return _clusters(found)
+
+
+def _clusters(folded: DataFrame) -> DataFrame:
+    return folded.filter(F.col("kind") == CLUSTER).select(F.col("node").alias("cluster_id"), "size", "level", F.col("trunk").alias("stability"), F.col("ids").alias("exemplars"))

@@ -340,3 +340,27 @@ def components(edges):
             lab[a] = lab[b] = min(lab[a], lab[b])
         if lab == old:
             return lab
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_clusters_do_not_depend_on_task_rows(spark, seed):
+    # nested groups, which no ladder of levels tells apart, chains, ties, small trees
+    rng = np.random.default_rng(seed)
+    edges = []
+    for tree, n in enumerate((160, 40, 7, 3)):
+        base = 1000 * tree
+        for v in range(1, n):
+            up = int(rng.integers(max(0, v - 12), v))
+            edges.append((base + v, base + up, 0.2 if rng.random() < 0.1 else round(float(rng.choice([0.05, 0.111, 0.112, 0.3]) + 0.1 * rng.random()), 3), base))
+    want = {}
+    for tree in {e[3] for e in edges}:
+        own = [e for e in edges if e[3] == tree]
+        a, b, d = (np.array([e[k] for e in own]) for k in range(3))
+        for born, stability, members, leave in clusters.condense(len(own) + 1, a - tree, b - tree, d, 0.5, 5):
+            want[tree + int(members[0]), len(members), round(1 - born, 9), tuple((tree + members[np.lexsort((members, -leave))[:3]]).tolist())] = stability
+    assert len(want) > 4
+    df = spark.createDataFrame(edges, "a long, b long, dist double, tree long")
+    got = [sorted(map(tuple, clusters.condensed(df, 0.5, 5, 3, rows).collect())) for rows in (1000, 60, 25)]
+    assert got[0] == got[1] == got[2]
+    stable = {(i, n, level, tuple(e)): s for i, n, level, s, e in got[0]}
+    assert len(got[0]) == len(stable) and stable.keys() == want.keys() and all(abs(stable[k] - want[k]) < 2e-6 for k in want)
