@@ -364,3 +364,13 @@ def test_clusters_do_not_depend_on_task_rows(spark, seed):
     assert got[0] == got[1] == got[2]
     stable = {(i, n, level, tuple(e)): s for i, n, level, s, e in got[0]}
     assert len(got[0]) == len(stable) and stable.keys() == want.keys() and all(abs(stable[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_groups_far_from_all_pivots_span_blocks(spark, monkeypatch):
+    x = people(40, 6, noise=0.6, seed=21, loners=60)
+    df, sent = table(spark, list(x)), []
+    of = permutation.FarRows.of
+    monkeypatch.setattr(permutation, "BLOCK_FAR", 64)
+    monkeypatch.setattr(permutation.FarRows, "of", lambda t: sent.append(len(t)) or of(t))
+    assert {(r.row_id, r.cluster_id) for r in linked_groups(df, params=permutation.IndexParams(n_pivots=16)).collect()} == groups(x, 0.5, 5)
+    assert len(sent) > 2 and max(sent) < len(x) / 2
