@@ -152,7 +152,8 @@ def spanning_forest(df: DataFrame, min_cos: float = 0.5, min_samples: int = 5, p
     out with the edges of both, which is enough to tell trees apart.
     """
     p = params or IndexParams()
-    files, extra = build(df.select("row_id", "embedding"), p, min_cos, copies=max(6, min_samples + 1))
+    # where density counts for nothing, one copy of a vector ties as much as all of them
+    files, extra = build(df.select("row_id", "embedding"), p, min_cos, copies=1 if min_samples == 1 else max(6, min_samples + 1))
     if min_samples > 1:
         files = materialize(files, "files")
     f = materialize(forests(files, min_cos, min_samples, p), "forest")
@@ -162,7 +163,7 @@ def spanning_forest(df: DataFrame, min_cos: float = 0.5, min_samples: int = 5, p
     tied = e.filter("component is not null")
     of = tied.select(F.explode(F.array("a", "b")).alias("a"), F.col("component").alias("tree")).distinct()
     out = final.unionByName(boruvka(tied).join(of, "a").select("a", "b", "dist", "tree"))
-    if extra is not None:
+    if extra is not None and min_cos < 1:
         trees = out.select(F.explode(F.array("a", "b")).alias("b"), "tree").distinct()
         hung = extra.select(F.col("row_id").alias("a"), F.col("first")[0].alias("b"), F.lit(0.0).alias("dist")).join(trees, "b", "left")
         out = out.unionByName(hung.select("a", "b", "dist", F.coalesce("tree", "b").alias("tree")))

@@ -374,3 +374,26 @@ def test_groups_far_from_all_pivots_span_blocks(spark, monkeypatch):
     monkeypatch.setattr(permutation.FarRows, "of", lambda t: sent.append(len(t)) or of(t))
     assert {(r.row_id, r.cluster_id) for r in linked_groups(df, params=permutation.IndexParams(n_pivots=16)).collect()} == groups(x, 0.5, 5)
     assert len(sent) > 2 and max(sent) < len(x) / 2
+
+
+@pytest.mark.parametrize("listed", [1 << 20, 0])
+def test_copies_are_left_out_before_they_meet_pivots(spark, monkeypatch, listed):
+    once = people(6, 5, noise=0.6, seed=31, loners=10)
+    x = np.concatenate([once] * 8)
+    bad = bad_vectors() * 8
+    df, staged = table(spark, [*x, *bad]), []
+    of = permutation.stage
+    monkeypatch.setattr(permutation, "stage", lambda d, *a, **k: staged.append(d.count()) or of(d, *a, **k))
+    monkeypatch.setattr(permutation, "LISTED", listed, raising=False)
+    assert {(r.row_id, r.cluster_id) for r in linked_groups(df).collect()} == groups(x, 0.5, 5)
+    assert {(r.row_id_1, r.row_id_2) for r in similar_pairs(df).collect()} == nearest(x, list(range(len(x))), 5, 0.5)
+    if listed:  # else lists are too long, and what is staged is filtered
+        assert staged == [len(once) + 4, 6 * (len(once) + 4) + 3 * 8]  # four bad vectors and three of other lengths
+    assert linked_groups(df, min_cos=1.0).count() == 0
+
+
+def test_prefixes_are_the_nearest_pivots():
+    sim = np.random.default_rng(4).standard_normal((50, 4103))
+    for length in (1, 24, 57, 600):  # by chunks, and without
+        assert (permutation.permutations(sim, length) == np.argsort(-sim, axis=1)[:, :length]).all()
+    assert permutation.permutations(sim[:0], 24).shape == (0, 24)
